@@ -21,9 +21,13 @@ from newsframe.operators.wordstats import top_words, word_counts
 from newsframe.session import small_table
 
 
-def _layout(df: DataFrame, id_col: str, text_expr, partitioned: bool) -> DataFrame:
-    narrow = df.select(id_col, text_expr.alias("_t"))
-    return narrow if partitioned else by_document(narrow, id_col)
+def _layout(df: DataFrame, id_col: str, text_col: str, clean: bool, partitioned: bool) -> DataFrame:
+    """Hash-partition the raw (id, text) on the id first, then prepare the
+    text, so the cleaning runs after the exchange, spread over all tasks."""
+    narrow = df.select(id_col, F.col(text_col).alias("_raw"))
+    narrow = narrow if partitioned else by_document(narrow, id_col)
+    expr = T.clean_for_keywords("_raw") if clean else F.col("_raw")
+    return narrow.select(id_col, expr.alias("_t"))
 
 
 def keywords_freq(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -31,7 +35,7 @@ def keywords_freq(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                   partitioned: bool = False) -> DataFrame:
     """K1: (id, keywords array) — ASCII-letter words of 4+ letters by count
     desc, ties by first occurrence."""
-    dd = _layout(df, id_col, F.col(text_col), partitioned)
+    dd = _layout(df, id_col, text_col, False, partitioned)
     words = F.filter(T.tokens("_t"), lambda w: w.rlike(f"^[a-z]{{{L.FREQ_KEYWORD_MIN_LEN},}}$"))
     return top_words(word_counts(dd, id_col, words), id_col, top_n, out)
 
@@ -84,8 +88,7 @@ def keywords_rake(df: DataFrame, stop_words: Sequence[str] | DataFrame, text_col
     """K2: (id, ranked phrases) from RAKE over the C5-cleaned text (or the
     text as given when ``clean=False``)."""
     spark = df.sparkSession
-    expr = T.clean_for_keywords(text_col) if clean else F.col(text_col)
-    dd = _layout(df, id_col, expr, partitioned)
+    dd = _layout(df, id_col, text_col, clean, partitioned)
     stop = stop_words if isinstance(stop_words, DataFrame) else stop_frame(spark, stop_words)
     res = rank_phrases(rake_phrases(dd, stop, id_col), id_col, top_n, out)
     return _with_all_ids(dd, res, id_col, out)
@@ -94,3 +97,87 @@ def keywords_rake(df: DataFrame, stop_words: Sequence[str] | DataFrame, text_col
 def postprocess(df: DataFrame, col: str, stop_words: Sequence[str], out: str | None = None) -> DataFrame:
     """K4 as an operator over an array column of phrases."""
     return df.withColumn(out or col, KWF.postprocess_keywords(col, stop_words))
+
+
+# ------------------------------------------------------------------- K3
+
+def hashed_vector_key(word_col, n_rows):
+    """Row index for a word in a vector table of ``n_rows`` rows: first 8 hex
+    digits of md5(word) modulo the row count (portable across engines)."""
+    h = F.conv(F.substring(F.md5(word_col), 1, 8), 16, 10).cast("long")
+    return F.pmod(h, n_rows if not isinstance(n_rows, int) else F.lit(n_rows))
+
+
+def _embedding_topn_fn(top_n: int, id_col: str, digits: int = 6):
+    import numpy as np
+    import pandas as pd
+
+    scale = 10.0 ** digits
+
+    def one(words, counts, cand, flat) -> list:
+        if words is None or len(words) == 0:
+            return []
+        cand = np.asarray(cand, dtype=bool)
+        if not cand.any():
+            return []
+        mat = np.asarray(flat, dtype=np.float64).reshape(len(words), -1)
+        dvec = np.asarray(counts, dtype=np.float64) @ mat
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cos = (mat @ dvec) / (np.sqrt((mat * mat).sum(axis=1)) * np.sqrt(dvec @ dvec))
+        scores = np.round(cos * scale) / scale
+        idx = np.nonzero(cand)[0]
+        order = sorted(idx, key=lambda k: (-scores[k], words[k]))
+        return [words[k] for k in order[:top_n]]
+
+    def fn(batches):
+        for pdf in batches:
+            kws = [one(w, n, c, v) for w, n, c, v in zip(pdf["ws"], pdf["ns"], pdf["cs"], pdf["vs"])]
+            yield pd.DataFrame({id_col: pdf[id_col], "kw": kws})
+    return fn
+
+
+def keywords_embedding(df: DataFrame, vectors: DataFrame, stop_words: Sequence[str],
+                       text_col: str = "text", id_col: str = "doc_id", top_n: int = L.KEYWORDS_TOP,
+                       key=None, out: str = "keywords", clean: bool = True,
+                       partitioned: bool = False) -> DataFrame:
+    """K3: candidate words (2+ characters, not stop words) ranked by cosine
+    to the document vector (sum of its tokens' word vectors, which has the
+    direction of their mean); top ``top_n``, ties by word.
+
+    ``vectors`` is (key, vec); ``key`` maps a word column to that key
+    (default: the word itself). Per-(doc, word) counts come from the local
+    aggregate; each document's (word, count, vector) rows are gathered into
+    one row on the same partitioning (bounded by the document's vocabulary)
+    and scored with numpy matrix products in Arrow batches."""
+    dd = _layout(df, id_col, text_col, clean, partitioned)
+    toks = F.filter(F.split("_t", " "), lambda w: w != F.lit(""))
+    counts = dd.select(id_col, F.explode(toks).alias("w")).groupBy(id_col, "w").agg(F.count(F.lit(1)).alias("n"))
+    k = key(F.col("w")) if key is not None else F.col("w")
+    vec = small_table(vectors.select(F.col("key").alias("_key"), F.col("vec")))
+    joined = counts.withColumn("_key", k).join(vec, "_key")
+    stop = sorted(set(stop_words))
+    cand = (F.length("w") >= 2) & ~F.array_contains(F.array(*[F.lit(s) for s in stop]), F.col("w")) \
+        if stop else (F.length("w") >= 2)
+    per_doc = joined.withColumn("_cand", cand).groupBy(id_col).agg(
+        F.collect_list("w").alias("ws"), F.collect_list("n").alias("ns"),
+        F.collect_list("_cand").alias("cs"), F.flatten(F.collect_list("vec")).alias("vs"))
+    res = per_doc.mapInPandas(_embedding_topn_fn(top_n, id_col), schema=f"{id_col} long, kw array<string>")
+    res = res.select(id_col, F.col("kw").alias(out))
+    return _with_all_ids(dd, res, id_col, out)
+
+
+def extract_keywords(df: DataFrame, vectors: DataFrame, stop_words: Sequence[str], text_col: str = "text",
+                     id_col: str = "doc_id", top_n: int = L.KEYWORDS_TOP, key=None,
+                     out: str = "keywords") -> DataFrame:
+    """K5: unstripped length < 100 -> []; else K3 on the C5 text, RAKE (K2)
+    when K3 finds nothing, then K4 post-processing."""
+    dd = by_document(df.select(id_col, text_col), id_col)
+    short = dd.select(id_col, T.too_short(text_col, L.GUARD_KEYWORDS_MIN, stripped=False).alias("_short"))
+    live = dd.join(short.filter(~F.col("_short")), id_col, "left_semi")
+    k3 = keywords_embedding(live, vectors, stop_words, text_col, id_col, top_n, key, "k3", partitioned=True)
+    k2 = keywords_rake(live, stop_words, text_col, id_col, top_n, "k2", partitioned=True)
+    both = k3.join(k2, id_col, "full")
+    pick = F.when(F.size(F.coalesce("k3", F.array().cast("array<string>"))) > 0, F.col("k3")).otherwise(F.col("k2"))
+    picked = both.select(id_col, KWF.postprocess_keywords(pick, stop_words).alias(out))
+    return short.join(picked, id_col, "left").select(
+        id_col, F.coalesce(F.col(out), F.array().cast("array<string>")).alias(out))

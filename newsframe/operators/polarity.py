@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from newsframe import lexicons as L
 from newsframe.functions import scores as S
 from newsframe.functions import text as T
+from newsframe.operators.tokens import by_document
 from newsframe.session import small_table
 
 DEC = "decimal(12,6)"
@@ -38,10 +39,12 @@ def modifier_frame(spark: SparkSession, negators: Sequence[str] = (),
 
 def polarity(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame | None = None,
              text_col: str = "text", id_col: str = "doc_id", out: str = "polarity",
-             keep: Sequence[str] = ()) -> DataFrame:
+             keep: Sequence[str] = (), partitioned: bool = False) -> DataFrame:
     """Mean of matched word polarities; a word right after a modifier is
     multiplied by its factor (negators -0.5) and clamped to [-1, 1]; no match
     gives 0. Returns ``id_col``, ``keep`` columns and ``out``."""
+    if not partitioned:
+        df = by_document(df.select(id_col, text_col, *keep), id_col)
     toks = T.tokens(text_col)
     prev = F.concat(F.array(F.lit(None).cast("string")), toks)
     pairs = F.filter(F.zip_with(toks, prev, lambda w, p: F.struct(w.alias("w"), p.alias("prev"))),
@@ -67,10 +70,12 @@ def analyze_bias(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame | None
                  cues: Sequence[str] | None = None, with_parts: bool = False) -> DataFrame:
     """Guard (stripped length < 100), else D5 score and D6 label, with
     cues and polarity both taken on the C4-cleaned text."""
-    prep = df.select(id_col, T.clean_for_bias(text_col).alias("_clean"),
+    dd = by_document(df.select(id_col, text_col), id_col)
+    prep = dd.select(id_col, T.clean_for_bias(text_col).alias("_clean"),
                      T.too_short(text_col, L.GUARD_BIAS_MIN).alias("_short"))
     prep = prep.select(id_col, "_clean", "_short", S.bias_cue_count("_clean", cues).alias("cue_count"))
-    pol = polarity(prep, lexicon, modifiers, "_clean", id_col, "polarity", keep=["_short", "cue_count"])
+    pol = polarity(prep, lexicon, modifiers, "_clean", id_col, "polarity", keep=["_short", "cue_count"],
+                   partitioned=True)
     score = S.bias_score(F.col("cue_count"), F.col("polarity"))
     res = pol.select(id_col, "cue_count", "polarity",
                      F.when(F.col("_short"), F.lit(0.0)).otherwise(score).alias("bias_score"),
@@ -83,8 +88,9 @@ def analyze_sentiment(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame |
                       text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Guard (stripped length < 50); score round((p+1)*5, 2); label by
     strict bounds -0.2 / 0.2. Polarity on the raw text."""
-    prep = df.select(id_col, text_col, T.too_short(text_col, L.GUARD_SENTIMENT_MIN).alias("_short"))
-    pol = polarity(prep, lexicon, modifiers, text_col, id_col, "polarity", keep=["_short"])
+    dd = by_document(df.select(id_col, text_col), id_col)
+    prep = dd.select(id_col, text_col, T.too_short(text_col, L.GUARD_SENTIMENT_MIN).alias("_short"))
+    pol = polarity(prep, lexicon, modifiers, text_col, id_col, "polarity", keep=["_short"], partitioned=True)
     p = F.col("polarity")
     return pol.select(
         id_col,

@@ -93,3 +93,53 @@ def keywords_postprocess(spark, base):
     r = KO.keywords_rake(_docs(spark, base), PR.STOP_WORDS_20, top_n=25)
     r = KO.postprocess(r, "keywords", PR.STOP_WORDS_20)
     return r.select("doc_id", F.array_join("keywords", ",").alias("keywords"))
+
+
+# --------------------------------------------------------------- K3 / K5
+
+def _vectors(spark, base):
+    emb = read_table(spark, base, "embeddings")
+    return emb.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec")), emb.count()
+
+
+def k3_ctes(src="documents", text="text", stop=PR.STOP_WORDS_20, n=10, prefix="k3"):
+    stop_list = "[" + ", ".join(K.q(w) for w in sorted(set(stop))) + "]"
+    return f"""
+{prefix}_c AS (SELECT doc_id, {K.clean_keywords(text)} AS ct FROM {src}),
+{prefix}_t AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id,
+      unnest(list_filter(string_split(ct, ' '), lambda x: x <> '')) AS w FROM {prefix}_c) GROUP BY doc_id, w),
+{prefix}_v AS (SELECT t.doc_id, t.w, t.n, e.embedding::DOUBLE[] AS vec FROM {prefix}_t t JOIN embeddings e
+      ON e.vec_id = ('0x' || substr(md5(t.w), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)),
+{prefix}_dv AS (SELECT doc_id, list(s ORDER BY k) AS dvec FROM (SELECT doc_id, k, sum(n * x) AS s FROM
+      (SELECT doc_id, n, unnest(vec) AS x, unnest(range(len(vec))) AS k FROM {prefix}_v) GROUP BY doc_id, k)
+      GROUP BY doc_id),
+{prefix}_s AS (SELECT v.doc_id, v.w, {K.pyround('list_dot_product(v.vec, d.dvec) / (sqrt(list_dot_product(v.vec, v.vec)) * sqrt(list_dot_product(d.dvec, d.dvec)))', 6)} AS score
+      FROM {prefix}_v v JOIN {prefix}_dv d ON v.doc_id = d.doc_id
+      WHERE length(v.w) >= 2 AND NOT list_contains({stop_list}, v.w)),
+{prefix}_r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, w) AS rn FROM {prefix}_s),
+{prefix}_kw AS (SELECT s.doc_id, coalesce(string_agg(r.w, ',' ORDER BY r.rn), '') AS keywords
+      FROM {src} s LEFT JOIN {prefix}_r r ON s.doc_id = r.doc_id AND r.rn <= {n} GROUP BY s.doc_id)"""
+
+
+@register("keywords_embedding", f"WITH {k3_ctes()} SELECT doc_id, keywords FROM k3_kw")
+def keywords_embedding(spark, base):
+    vec, n = _vectors(spark, base)
+    r = KO.keywords_embedding(_docs(spark, base), vec, PR.STOP_WORDS_20,
+                              key=lambda w: KO.hashed_vector_key(w, n))
+    return r.select("doc_id", F.array_join("keywords", ",").alias("keywords"))
+
+
+def k5_sql(src="documents", text="text"):
+    live = f"(SELECT doc_id, {text} AS text FROM {src} WHERE length(coalesce({text}, '')) >= {L.GUARD_KEYWORDS_MIN})"
+    return f"""WITH lv AS {live}, {k3_ctes('lv', 'text')}, {rake_ctes('lv', 'text')},
+pick AS (SELECT a.doc_id, CASE WHEN a.keywords <> '' THEN a.keywords ELSE b.keywords END AS kw
+         FROM k3_kw a JOIN rk_kw b ON a.doc_id = b.doc_id),
+pp AS (SELECT doc_id, array_to_string({k4_sql("list_filter(string_split(kw, ','), lambda x: x <> '')")}, ',') AS keywords FROM pick)
+SELECT s.doc_id, coalesce(pp.keywords, '') AS keywords FROM {src} s LEFT JOIN pp ON s.doc_id = pp.doc_id"""
+
+
+@register("extract_keywords", k5_sql())
+def extract_keywords(spark, base):
+    vec, n = _vectors(spark, base)
+    r = KO.extract_keywords(_docs(spark, base), vec, PR.STOP_WORDS_20, key=lambda w: KO.hashed_vector_key(w, n))
+    return r.select("doc_id", F.array_join("keywords", ",").alias("keywords"))

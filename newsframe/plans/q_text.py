@@ -83,3 +83,13 @@ def lead_sql(x, k=L.LEAD_SENTENCES):
 @register("summary_lead", f"SELECT doc_id, {lead_sql('text')} AS summary FROM documents")
 def summary_lead(spark, base):
     return _docs(spark, base).select("doc_id", M.summary_lead("text").alias("summary"))
+
+
+@register("summary_batch_model", f"""SELECT doc_id,
+  CASE WHEN length({K.strip("coalesce(text, '')")}) < {L.GUARD_SUMMARY_MIN} THEN {K.q(L.TOO_SHORT_SUMMARY)}
+       ELSE {lead_sql(f"({_trunc_sql(L.TRUNCATE_LOCAL_WORDS)})")} END AS summary,
+  CASE WHEN length({K.strip("coalesce(text, '')")}) < {L.GUARD_SUMMARY_MIN} THEN 'short' ELSE 'ok' END AS status
+FROM documents""")
+def summary_batch_model(spark, base):
+    from newsframe.operators.summarize import summarize
+    return summarize(_docs(spark, base))
