@@ -248,3 +248,45 @@ def extract_article(spark, base):
 @register("scrape_site")
 def scrape_site(spark, base):
     return PG.scrape_site(_pages(spark, base), _pages(spark, base), [PAGE_RULE], L.ARTICLE_LIMIT)
+
+
+# --------------------------------------------------------------- pipelines
+
+from newsframe.plans import params as PR  # noqa: E402
+from newsframe.plans import pipelines as PL  # noqa: E402
+from newsframe.plans.q_keywords import _vectors, k1_ctes, k5_sql  # noqa: E402
+from newsframe.plans.q_scores import d1_ctes  # noqa: E402
+from newsframe.plans.q_text import _trunc_sql, lead_sql  # noqa: E402
+from newsframe.operators.keywords import hashed_vector_key  # noqa: E402
+
+E9_SQL = K.strip(f"regexp_replace(array_to_string({s_paragraphs(s_drop_code('html'))}, ' '), '[{WS}]+', ' ', 'g')")
+_PENALTY = " + ".join(K.count_substr("lower(coalesce(content, ''))", c) for c in L.PENALTY_CUES)
+
+
+@register("cli_summarize", f"""WITH content AS (SELECT page_id AS doc_id, {E9_SQL} AS content FROM pages),
+{k1_ctes('content', 'content')}
+SELECT c.doc_id AS page_id, {lead_sql('c.content')} AS summary,
+  greatest(100.0::DOUBLE - ({_PENALTY.replace('content', 'c.content')})::DOUBLE * 10.0::DOUBLE, 0.0::DOUBLE) AS credibility,
+  k.keywords FROM content c JOIN k1_kw k ON c.doc_id = k.doc_id""")
+def cli_summarize(spark, base):
+    r = PL.cli_summarize(_pages(spark, base))
+    return r.select("page_id", "summary", "credibility", F.array_join("keywords", ",").alias("keywords"))
+
+
+_K5 = k5_sql("content", "content")
+_P1_SQL = f"""WITH content AS (SELECT page_id AS doc_id, url, {E9_SQL} AS content FROM pages),
+{d1_ctes(src_table='content', text='content')},
+kw AS ({_K5}),
+sm AS (SELECT doc_id,
+  CASE WHEN length({K.strip("coalesce(content, '')")}) < {L.GUARD_SUMMARY_MIN} THEN {K.q(L.TOO_SHORT_SUMMARY)}
+       ELSE {lead_sql(f"({_trunc_sql(L.TRUNCATE_LOCAL_WORDS).replace('text', 'content')})")} END AS summary
+  FROM content)
+SELECT c.doc_id AS page_id, c.url, sm.summary, kw.keywords, d1.credibility
+FROM content c JOIN sm ON c.doc_id = sm.doc_id JOIN kw ON c.doc_id = kw.doc_id JOIN d1 ON c.doc_id = d1.doc_id"""
+
+
+@register("analyze_articles", _P1_SQL)
+def analyze_articles(spark, base):
+    vec, n = _vectors(spark, base)
+    r = PL.analyze_articles(_pages(spark, base), vec, PR.STOP_WORDS_20, key=lambda w: hashed_vector_key(w, n))
+    return r.select("page_id", "url", "summary", F.array_join("keywords", ",").alias("keywords"), "credibility")

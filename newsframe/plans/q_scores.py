@@ -34,9 +34,15 @@ def _contains_any_sum(x, phrases):
 
 
 def _d1_sql(clickbait, sources):
+    return "WITH " + d1_ctes(clickbait, sources) + """
+SELECT doc_id, clickbait, exclamations, punct_runs, repetition, has_source, n_words, credibility FROM d1"""
+
+
+def d1_ctes(clickbait=L.CLICKBAIT_PHRASES, sources=L.SOURCE_PHRASES, src_table="documents", text="text"):
+    """CTEs ending in ``d1(doc_id, parts..., credibility)``."""
     src = " OR ".join(f"contains(lt, {K.q(p)})" for p in sources)
     return f"""
-WITH base AS (SELECT doc_id, {_lt()} AS lt FROM documents),
+base AS (SELECT doc_id, {_lt(text)} AS lt FROM {src_table}),
 tk AS (SELECT doc_id, unnest(regexp_extract_all(lt, '{TOKEN}')) AS w FROM base),
 wc AS (SELECT doc_id, w, count(*) AS n FROM tk GROUP BY doc_id, w),
 rk AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS rn FROM wc),
@@ -50,14 +56,14 @@ parts AS (
     coalesce(rep.repetition, 0)::BIGINT AS repetition,
     ({src}) AS has_source,
     len(regexp_extract_all(lt, '{TOKEN}'))::BIGINT AS n_words
-  FROM base b LEFT JOIN rep ON b.doc_id = rep.doc_id)
-SELECT doc_id, clickbait, exclamations, punct_runs, repetition, has_source, n_words,
+  FROM base b LEFT JOIN rep ON b.doc_id = rep.doc_id),
+d1 AS (SELECT doc_id, clickbait, exclamations, punct_runs, repetition, has_source, n_words,
   {K.pyround('''least(greatest(
       least(n_words::DOUBLE / 300.0::DOUBLE, 1.0::DOUBLE) * 0.4::DOUBLE
       + has_source::INT::DOUBLE * 0.2::DOUBLE
       + (1.0::DOUBLE / (1.0::DOUBLE + (clickbait + exclamations + punct_runs + repetition)::DOUBLE)) * 0.4::DOUBLE,
       0.0::DOUBLE), 1.0::DOUBLE)''', 2)} AS credibility
-FROM parts"""
+FROM parts)"""
 
 
 @register("credibility_heuristic", _d1_sql(L.CLICKBAIT_PHRASES, L.SOURCE_PHRASES))
