@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     # Importing the modules registers their queries.
-    from newsframe.plans import q_text, q_scores, q_keywords, q_html, q_dedup, q_store  # noqa: F401
+    from newsframe.plans import q_text, q_scores, q_keywords, q_html, q_dedup, q_store, q_feeds  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:
