@@ -58,7 +58,9 @@ def polarity(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame | None = No
         mods = small_table(modifiers.select(F.col("word").alias("prev"), F.col("factor").cast(DEC).alias("factor")))
         joined = joined.join(mods, "prev", "left")
         factor = F.coalesce(F.col("factor"), factor)
-    value = F.greatest(F.least(F.col("pol") * factor, F.lit(1).cast(DEC)), F.lit(-1).cast(DEC))
+    # least/greatest skip NULLs, so only matched words are clamped
+    value = F.when(F.col("pol").isNotNull(),
+                   F.greatest(F.least(F.col("pol") * factor, F.lit(1).cast(DEC)), F.lit(-1).cast(DEC)))
     agg = joined.groupBy(id_col).agg(*[F.any_value(k).alias(k) for k in keep],
                                      F.sum(value).alias("_s"), F.count("pol").alias("_n"))
     pol = F.when(F.col("_n") > 0, F.col("_s").cast("double") / F.col("_n").cast("double")).otherwise(F.lit(0.0))

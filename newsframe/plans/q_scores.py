@@ -171,7 +171,8 @@ def polarity_ctes(src: str, text_expr: str, prefix: str = "p") -> str:
   FROM (SELECT doc_id, regexp_extract_all(lower(coalesce({text_expr}, '')), '{TOKEN}') AS toks FROM {src})),
 {prefix}_s AS (
   SELECT t.doc_id,
-    sum(greatest(least(lex.polarity::{DEC} * coalesce(mods.factor::{DEC}, 1::{DEC}), 1::{DEC}), -1::{DEC})) AS s,
+    sum(CASE WHEN lex.polarity IS NOT NULL THEN
+        greatest(least(lex.polarity::{DEC} * coalesce(mods.factor::{DEC}, 1::{DEC}), 1::{DEC}), -1::{DEC}) END) AS s,
     count(lex.polarity) AS n
   FROM {prefix}_t t LEFT JOIN {_lex_sql()} ON t.w = lex.word LEFT JOIN {_mods_sql()} ON t.prev = mods.word
   GROUP BY t.doc_id),
