@@ -29,7 +29,7 @@ def main() -> None:
     base = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 4)
     qs = queries()
     spark.range(1000).selectExpr("sum(id)").collect()
     times = {}

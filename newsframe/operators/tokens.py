@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 from newsframe.functions.text import tokens
 
 
-def by_document(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return df.repartition(id_col)
+def by_document(df: DataFrame, id_col: str = "doc_id", partitions: int | None = None) -> DataFrame:
+    """Hash-partition on the id into ``spark.sql.shuffle.partitions`` (or
+    ``partitions``) parts. The count is given explicitly so adaptive
+    execution does not merge partitions: the shuffle carries little data
+    but the per-document work after it is CPU-heavy, so it needs the tasks."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(n, id_col)
 
 
 def tokenize(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
