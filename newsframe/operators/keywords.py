@@ -8,6 +8,7 @@ exchange. Stop lists are broadcast after a size check."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,11 +46,59 @@ def stop_frame(spark: SparkSession, words: Sequence[str]) -> DataFrame:
     return small_table(spark.createDataFrame([(w,) for w in uniq], "w string"), known_rows=len(uniq))
 
 
-def rake_phrases(dd: DataFrame, stop: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def word_alternation(words: Sequence[str]) -> str:
+    """Regex alternation of ``words`` shaped as a trie (shared prefixes
+    factored out), so matching costs about the word length, not the list
+    length."""
+    trie: dict = {}
+    for w in sorted(set(words)):
+        node = trie
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node: dict) -> str:
+        end = "" in node
+        alts = [re.escape(ch) + emit(child) for ch, child in sorted(node.items()) if ch]
+        if not alts:
+            return ""
+        body = alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+        return f"(?:{body})?" if end else body
+
+    return emit(trie)
+
+
+PHRASE_BREAK = "\u0004"
+
+
+def rake_phrases(dd: DataFrame, stop: DataFrame | Sequence[str], id_col: str = "doc_id") -> DataFrame:
     """RAKE phrase occurrences of the prepared (C5) text in ``_t``:
     (id, pid, phrase, score). Stop words split phrases; a word's score is
     degree / frequency over the document's phrase occurrences; a phrase
-    scores the sum over its words (Rose et al., 2010)."""
+    scores the sum over its words (Rose et al., 2010).
+
+    With a stop list given as words, phrases are cut inside the row (one
+    trie-shaped regex marks the stop words), so no window is needed; word
+    statistics are a hash aggregate joined back by a hash join on the same
+    partitioning. A stop list given as a DataFrame is joined instead."""
+    if isinstance(stop, DataFrame):
+        return _rake_phrases_joined(dd, stop, id_col)
+    words = [w for w in set(stop) if w]
+    marked = F.col("_t")
+    if words:
+        marked = F.regexp_replace(marked, f"(?<![^ ])(?:{word_alternation(words)})(?![^ ])", PHRASE_BREAK)
+    phrases = F.filter(F.transform(F.split(marked, PHRASE_BREAK), lambda p: F.trim(p)), lambda p: p != F.lit(""))
+    ph = dd.select(id_col, F.posexplode(phrases).alias("pid", "phrase"))
+    ph = ph.withColumn("_ws", F.filter(F.split("phrase", " "), lambda w: w != F.lit("")))
+    occ = ph.select(id_col, "pid", F.size("_ws").alias("plen"), F.explode("_ws").alias("w"))
+    stats = occ.groupBy(id_col, "w").agg((F.sum("plen").cast("double") / F.count(F.lit(1)).cast("double"))
+                                         .alias("ratio"))
+    scored = occ.join(stats.hint("shuffle_hash"), [id_col, "w"])
+    score = scored.groupBy(id_col, "pid").agg(T.pyround(F.sum("ratio"), 6).alias("score"))
+    return score.join(ph.select(id_col, "pid", "phrase").hint("shuffle_hash"), [id_col, "pid"])
+
+
+def _rake_phrases_joined(dd: DataFrame, stop: DataFrame, id_col: str) -> DataFrame:
     toks = F.filter(F.split("_t", " "), lambda w: w != F.lit(""))
     tk = dd.select(id_col, F.posexplode(toks).alias("pos", "w"))
     flagged = tk.join(stop.select("w", F.lit(1).alias("_stop")), "w", "left")
@@ -89,8 +138,7 @@ def keywords_rake(df: DataFrame, stop_words: Sequence[str] | DataFrame, text_col
     text as given when ``clean=False``)."""
     spark = df.sparkSession
     dd = _layout(df, id_col, text_col, clean, partitioned)
-    stop = stop_words if isinstance(stop_words, DataFrame) else stop_frame(spark, stop_words)
-    res = rank_phrases(rake_phrases(dd, stop, id_col), id_col, top_n, out)
+    res = rank_phrases(rake_phrases(dd, stop_words, id_col), id_col, top_n, out)
     return _with_all_ids(dd, res, id_col, out)
 
 

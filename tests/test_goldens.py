@@ -86,8 +86,9 @@ def test_keywords_freq(spark):
 def test_rake(spark):
     d = docs(spark, ["deep learning model for deep networks"])
     dd = d.select("doc_id", F.col("text").alias("_t"))
-    ph = {x.phrase: x.score for x in KO.rake_phrases(dd, KO.stop_frame(spark, ["for"])).collect()}
-    assert ph == {"deep learning model": 8.5, "deep networks": 4.5}
+    for stop in (KO.stop_frame(spark, ["for"]), ["for"]):
+        ph = {x.phrase: x.score for x in KO.rake_phrases(dd, stop).collect()}
+        assert ph == {"deep learning model": 8.5, "deep networks": 4.5}
 
 
 def test_postprocess(spark):
