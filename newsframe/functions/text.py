@@ -43,9 +43,31 @@ def stripped_length(c) -> Column:
     return F.length(strip(F.coalesce(_c(c), F.lit(""))))
 
 
+NUMERIC_ENTITY = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _code_point_char(code: Column) -> Column:
+    """Decimal or 'x'-prefixed hex code point -> the character."""
+    dec = F.when(code.startswith("x") | code.startswith("X"),
+                 F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code)
+    return F.decode(F.unhex(F.lpad(F.hex(dec.cast("long")), 8, "0")), "UTF-32")
+
+
+def decode_numeric_entities(c) -> Column:
+    """``&#233;`` / ``&#xE9;`` -> the character. Only rows containing '&#'
+    do the work: split around the references, convert, interleave."""
+    x = _c(c)
+    parts = F.split(x, NUMERIC_ENTITY)
+    codes = F.regexp_extract_all(x, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), 1)
+    chars = F.transform(codes, _code_point_char)
+    joined = F.array_join(F.zip_with(parts, chars, lambda p, ch: F.concat(p, F.coalesce(ch, F.lit("")))), "")
+    return F.when(x.contains("&#"), joined).otherwise(x)
+
+
 def decode_entities(c) -> Column:
-    """Decode the fixed set of HTML entities (``&amp;`` last)."""
-    out = _c(c)
+    """Decode numeric character references, then the fixed set of named
+    HTML entities (``&amp;`` last, so '&amp;#39;' stays '&#39;')."""
+    out = decode_numeric_entities(_c(c))
     for ent, ch in L.HTML_ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
     return out

@@ -173,3 +173,8 @@ def test_sink_router_unknown_mode(spark, tmp_path):
     with pytest.raises(ValueError):
         sink_router(df, "mongo", str(tmp_path / "x"))
     assert not (tmp_path / "x").exists()
+
+
+def test_entities(spark):
+    assert one(spark, T.decode_entities(F.col("x")), "&#233;t&#xE9; &#8217;x&amp;#39; &lt;b&gt;") == "été ’x&#39; <b>"
+    assert one(spark, T.decode_entities(F.col("x")), "plain") == "plain"

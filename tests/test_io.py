@@ -65,3 +65,18 @@ def test_feed_stream_restart(spark, tmp_path):
         got = spark.read.parquet(str(out)).filter(F.col("link") == "http://x/1").count()
         assert got == expected
         shutil.move(str(src / f"b{dedup}.xml"), str(tmp_path / f"done{dedup}.xml"))
+
+
+def test_stream_scores_match_batch(spark, tmp_path):
+    from newsframe.streaming.feeds import stream_scores
+    rows = [(1, "Shocking!!! Rumor says it is clearly a disaster."), (2, "short"),
+            (3, "A calm and factual report according to officials. " * 3)]
+    src = tmp_path / "docs"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(src))
+    stream = spark.readStream.schema("doc_id long, text string").parquet(str(src))
+    q = stream_scores(stream).writeStream.format("memory").queryName("t3_scores").start()
+    q.processAllAvailable()
+    q.stop()
+    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM t3_scores").collect())
+    want = sorted(tuple(r) for r in stream_scores(spark.read.parquet(str(src))).collect())
+    assert got == want and len(got) == 3
