@@ -130,10 +130,11 @@ def _paragraphs(region: Column) -> Column:
     return F.transform(raw, lambda p: inner_text(p))
 
 
-def container(html, tag: str, cls: str = "") -> Column:
+def container(html, tag: str, cls: str = "", cleaned: bool = False) -> Column:
     """Inner markup of the first ``<tag>`` (with class ``cls``), up to its
-    balanced end tag (or the end of the page); NULL if there is none."""
-    h = drop_code(html)
+    balanced end tag (or the end of the page); NULL if there is none.
+    ``cleaned``: the input already went through ``drop_code``."""
+    h = _c(html) if cleaned else drop_code(html)
     cond = (rf"""[^>]*\bclass\s*=\s*["']?(?:[^"'>]*\s)?{cls}[\s"'][^>]*""" if cls else r"(?:\s[^>]*)?")
     start_re = rf"(?is)<{tag}{cond}>"
     found = h.rlike(start_re)
@@ -158,10 +159,10 @@ def container(html, tag: str, cls: str = "") -> Column:
     return F.when(found, F.regexp_replace(inner, DIV_MARK, ""))
 
 
-def paragraph_text_container(html, tag: str, cls: str = "") -> Column:
+def paragraph_text_container(html, tag: str, cls: str = "", cleaned: bool = False) -> Column:
     """Paragraphs of the body container joined by newlines; '' if the
     container is missing. Empty paragraphs stay as empty lines."""
-    c = container(html, tag, cls)
+    c = container(html, tag, cls, cleaned)
     return F.when(c.isNull(), F.lit("")).otherwise(F.array_join(_paragraphs(c), "\n"))
 
 
@@ -172,17 +173,17 @@ def paragraph_text_all(html) -> Column:
     return strip(F.regexp_replace(joined, WS_RUN, " "))
 
 
-def first_element_text(html, tag: str, cond: str = "") -> Column:
+def first_element_text(html, tag: str, cond: str = "", cleaned: bool = False) -> Column:
     """Text of the first ``<tag cond...>`` element (to its first end tag);
     NULL if none."""
-    h = drop_code(html)
+    h = _c(html) if cleaned else drop_code(html)
     c = cond if cond else ""
     pat = rf"(?is)<{tag}\b[^>]*{c}[^>]*>(.*?)</{tag}\s*>" if c else rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
     start = rf"(?is)<{tag}\b[^>]*{c}[^>]*>" if c else rf"(?is)<{tag}\b[^>]*>"
     return F.when(h.rlike(start), inner_text(F.regexp_extract(h, pat, 1)))
 
 
-def first_tag_attrs(html, tag: str) -> Column:
+def first_tag_attrs(html, tag: str, cleaned: bool = False) -> Column:
     """Attribute string of the first ``<tag ...>``; NULL if none."""
-    h = drop_code(html)
+    h = _c(html) if cleaned else drop_code(html)
     return F.when(h.rlike(rf"(?is)<{tag}\b"), F.regexp_extract(h, rf"(?is)<{tag}\b([^>]*)>", 1))

@@ -22,10 +22,12 @@ PARTS = ("clickbait", "exclamations", "punct_runs", "has_source", "n_words")
 
 def top3_repetition(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     out: str = "repetition", partitioned: bool = False,
-                    carry: tuple[str, ...] = ()) -> DataFrame:
-    """D1d: sum of the 3 largest word counts that exceed 5, per document."""
+                    carry: tuple[str, ...] = (), tokens_col: str | None = None) -> DataFrame:
+    """D1d: sum of the 3 largest word counts that exceed 5, per document.
+    ``tokens_col``: an already tokenized array column to count instead."""
     dd = df if partitioned else by_document(df.select(id_col, text_col, *carry), id_col)
-    counts = word_counts(dd, id_col, T.tokens(text_col), carry)
+    words = F.col(tokens_col) if tokens_col else T.tokens(text_col)
+    counts = word_counts(dd, id_col, words, carry)
     return top_counts_sum(counts, id_col, L.REPETITION_TOP, L.REPETITION_MIN_COUNT, out, carry)
 
 
@@ -38,13 +40,14 @@ def credibility_heuristic(df: DataFrame, text_col: str = "text", id_col: str = "
     dd = df if partitioned else by_document(df.select(id_col, text_col), id_col)
     lt = S.lowered_stripped(text_col)
     prep = dd.select(id_col, lt.alias("_lt"))
-    prep = prep.select(id_col, "_lt",
+    prep = prep.select(id_col, "_lt", T.tokens("_lt").alias("_toks"))
+    prep = prep.select(id_col, "_toks",
                        S.clickbait_hits("_lt", clickbait).alias("clickbait"),
                        S.exclamation_count("_lt").alias("exclamations"),
                        S.punct_runs("_lt").alias("punct_runs"),
                        S.has_source("_lt", sources).alias("has_source"),
-                       F.size(T.tokens("_lt")).cast("long").alias("n_words"))
-    rep = top3_repetition(prep, "_lt", id_col, "repetition", partitioned=True, carry=PARTS)
+                       F.size("_toks").cast("long").alias("n_words"))
+    rep = top3_repetition(prep, "_lt", id_col, "repetition", partitioned=True, carry=PARTS, tokens_col="_toks")
     score = S.combine_credibility(F.col("clickbait"), F.col("exclamations"), F.col("punct_runs"),
                                   F.col("repetition"), F.col("has_source"), F.col("n_words"))
     cols = [id_col] + (["clickbait", "exclamations", "punct_runs", "repetition", "has_source", "n_words"]

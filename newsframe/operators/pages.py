@@ -183,13 +183,14 @@ def robots_filter(urls: DataFrame, rules: DataFrame, mode: str = "collapse", bas
 
 
 def _article_cols(r: SiteRule) -> dict[str, Column]:
-    html = F.col("html")
-    time_attrs = H.first_tag_attrs(html, "time")
+    html = F.col("_clean")
+    time_attrs = F.col("_time")
     return {
-        "title": F.coalesce(H.first_element_text(html, "h1"), F.lit(r.title_default)),
-        "author": F.coalesce(H.first_element_text(html, r.author_tag, r.author_cond), F.lit(L.AUTHOR_DEFAULT)),
+        "title": F.coalesce(H.first_element_text(html, "h1", cleaned=True), F.lit(r.title_default)),
+        "author": F.coalesce(H.first_element_text(html, r.author_tag, r.author_cond, cleaned=True),
+                             F.lit(L.AUTHOR_DEFAULT)),
         "published": H.attr(time_attrs, "datetime"),
-        "content": H.paragraph_text_container(html, r.body_tag, r.body_class),
+        "content": H.paragraph_text_container(html, r.body_tag, r.body_class, cleaned=True),
         "_drop": (F.lit(r.time_required) & time_attrs.isNotNull() & H.attr(time_attrs, "datetime").isNull()),
     }
 
@@ -200,6 +201,10 @@ def extract_article(pages: DataFrame, rules: SiteRule | Sequence[SiteRule]) -> D
     <time> lacks a datetime, are dropped."""
     rules = [rules] if isinstance(rules, SiteRule) else list(rules)
     p = pages.withColumn("_rule", _rule_index(H.url_host("url"), rules)).filter(F.col("_rule").isNotNull())
+    # scripts, styles and comments are removed once per page; every field
+    # reads the cleaned markup
+    p = p.select("page_id", "url", "_rule", H.drop_code("html").alias("_clean"))
+    p = p.withColumn("_time", H.first_tag_attrs(F.col("_clean"), "time", cleaned=True))
     ix = F.col("_rule")
     cols = {k: _by_rule(ix, rules, lambda r, k=k: _article_cols(r)[k]) for k in
             ("title", "author", "published", "content", "_drop")}
