@@ -184,6 +184,40 @@ def _embedding_topn_fn(top_n: int, id_col: str, digits: int = 6):
     return fn
 
 
+def _embedding_topn_keys_fn(top_n: int, id_col: str, bc, digits: int = 6):
+    import numpy as np
+    import pandas as pd
+
+    scale = 10.0 ** digits
+
+    def one(words, rows, counts, cand, mat_all) -> list:
+        if words is None or len(words) == 0:
+            return []
+        cand = np.asarray(cand, dtype=bool)
+        if not cand.any():
+            return []
+        mat = mat_all[np.asarray(rows, dtype=np.int64)]
+        dvec = np.asarray(counts, dtype=np.float64) @ mat
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cos = (mat @ dvec) / (np.sqrt((mat * mat).sum(axis=1)) * np.sqrt(dvec @ dvec))
+        scores = np.round(cos * scale) / scale
+        idx = np.nonzero(cand)[0]
+        order = sorted(idx, key=lambda k: (-scores[k], words[k]))
+        return [words[k] for k in order[:top_n]]
+
+    def fn(batches):
+        mat_all = bc.value
+        for pdf in batches:
+            kws = [one(w, r, n, c, mat_all) for w, r, n, c in zip(pdf["ws"], pdf["rs"], pdf["ns"], pdf["cs"])]
+            yield pd.DataFrame({id_col: pdf[id_col], "kw": kws})
+    return fn
+
+
+# Vector tables up to this many values (rows x dimensions, float64) are
+# shipped once to every task as a matrix; larger ones travel with the rows.
+VECTOR_BROADCAST_MAX_VALUES = 10_000_000
+
+
 def keywords_embedding(df: DataFrame, vectors: DataFrame, stop_words: Sequence[str],
                        text_col: str = "text", id_col: str = "doc_id", top_n: int = L.KEYWORDS_TOP,
                        key=None, out: str = "keywords", clean: bool = True,
@@ -197,15 +231,37 @@ def keywords_embedding(df: DataFrame, vectors: DataFrame, stop_words: Sequence[s
     aggregate; each document's (word, count, vector) rows are gathered into
     one row on the same partitioning (bounded by the document's vocabulary)
     and scored with numpy matrix products in Arrow batches."""
+    spark = df.sparkSession
     dd = _layout(df, id_col, text_col, clean, partitioned)
     toks = F.filter(F.split("_t", " "), lambda w: w != F.lit(""))
     counts = dd.select(id_col, F.explode(toks).alias("w")).groupBy(id_col, "w").agg(F.count(F.lit(1)).alias("n"))
     k = key(F.col("w")) if key is not None else F.col("w")
-    vec = small_table(vectors.select(F.col("key").alias("_key"), F.col("vec")))
-    joined = counts.withColumn("_key", k).join(vec, "_key")
     stop = sorted(set(stop_words))
     cand = (F.length("w") >= 2) & ~F.array_contains(F.array(*[F.lit(s) for s in stop]), F.col("w")) \
         if stop else (F.length("w") >= 2)
+    first = vectors.select(F.size("vec").alias("dim")).first()
+    dim = max(int(first["dim"]), 1) if first is not None else 1
+    max_rows = VECTOR_BROADCAST_MAX_VALUES // dim
+    n_vec = vectors.limit(max_rows + 1).count()
+    if n_vec <= max_rows:
+        # small vector table: a row index per key (a join against the
+        # broadcast key -> row table) and the matrix broadcast once per task
+        import numpy as np
+        indexed = vectors.select(F.col("key").alias("_key"), "vec").orderBy("_key").collect()
+        mat = np.array([np.asarray(r["vec"], dtype=np.float64) for r in indexed]) if indexed else np.zeros((0, 0))
+        rows_df = spark.createDataFrame([(r["_key"], i) for i, r in enumerate(indexed)],
+                                        f"_key {vectors.schema['key'].dataType.simpleString()}, _row long")
+        bc = spark.sparkContext.broadcast(mat)
+        joined = counts.withColumn("_key", k).join(F.broadcast(rows_df), "_key")
+        per_doc = joined.withColumn("_cand", cand).groupBy(id_col).agg(
+            F.collect_list("w").alias("ws"), F.collect_list("_row").alias("rs"),
+            F.collect_list("n").alias("ns"), F.collect_list("_cand").alias("cs"))
+        res = per_doc.mapInPandas(_embedding_topn_keys_fn(top_n, id_col, bc),
+                                  schema=f"{id_col} long, kw array<string>")
+        res = res.select(id_col, F.col("kw").alias(out))
+        return _with_all_ids(dd, res, id_col, out)
+    vec = vectors.select(F.col("key").alias("_key"), F.col("vec"))
+    joined = counts.withColumn("_key", k).join(vec, "_key")
     per_doc = joined.withColumn("_cand", cand).groupBy(id_col).agg(
         F.collect_list("w").alias("ws"), F.collect_list("n").alias("ns"),
         F.collect_list("_cand").alias("cs"), F.flatten(F.collect_list("vec")).alias("vs"))
