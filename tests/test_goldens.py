@@ -178,3 +178,15 @@ def test_sink_router_unknown_mode(spark, tmp_path):
 def test_entities(spark):
     assert one(spark, T.decode_entities(F.col("x")), "&#233;t&#xE9; &#8217;x&amp;#39; &lt;b&gt;") == "été ’x&#39; <b>"
     assert one(spark, T.decode_entities(F.col("x")), "plain") == "plain"
+
+
+def test_embedding_paths_agree(spark, monkeypatch):
+    texts = ["alpha beta gamma delta alpha beta", "gamma delta epsilon zeta eta theta", "the of and"]
+    d = docs(spark, texts)
+    vocab = sorted({w for t in texts for w in t.split()})
+    vec = spark.createDataFrame([(w, [float((i * 7 + k) % 5) - 2.0 for k in range(4)]) for i, w in enumerate(vocab)],
+                                "key string, vec array<float>")
+    a = {r.doc_id: r.keywords for r in KO.keywords_embedding(d, vec, ["the", "of", "and"], top_n=3).collect()}
+    monkeypatch.setattr(KO, "VECTOR_BROADCAST_MAX_VALUES", 0)
+    b = {r.doc_id: r.keywords for r in KO.keywords_embedding(d, vec, ["the", "of", "and"], top_n=3).collect()}
+    assert a == b and a[2] == [] and len(a[0]) == 3
