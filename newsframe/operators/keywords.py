@@ -78,9 +78,10 @@ def rake_phrases(dd: DataFrame, stop: DataFrame | Sequence[str], id_col: str = "
     scores the sum over its words (Rose et al., 2010).
 
     With a stop list given as words, phrases are cut inside the row (one
-    trie-shaped regex marks the stop words), so no window is needed; word
-    statistics are a hash aggregate joined back by a hash join on the same
-    partitioning. A stop list given as a DataFrame is joined instead."""
+    trie-shaped regex marks the stop words); word statistics are one window
+    keyed by (doc, word) on the document partitioning, and phrase scores one
+    aggregate, so nothing is shuffled after the document repartition. A stop
+    list given as a DataFrame is joined instead."""
     if isinstance(stop, DataFrame):
         return _rake_phrases_joined(dd, stop, id_col)
     words = [w for w in set(stop) if w]
@@ -88,14 +89,18 @@ def rake_phrases(dd: DataFrame, stop: DataFrame | Sequence[str], id_col: str = "
     if words:
         marked = F.regexp_replace(marked, f"(?<![^ ])(?:{word_alternation(words)})(?![^ ])", PHRASE_BREAK)
     phrases = F.filter(F.transform(F.split(marked, PHRASE_BREAK), lambda p: F.trim(p)), lambda p: p != F.lit(""))
-    ph = dd.select(id_col, F.posexplode(phrases).alias("pid", "phrase"))
-    ph = ph.withColumn("_ws", F.filter(F.split("phrase", " "), lambda w: w != F.lit("")))
-    occ = ph.select(id_col, "pid", F.size("_ws").alias("plen"), F.explode("_ws").alias("w"))
-    stats = occ.groupBy(id_col, "w").agg((F.sum("plen").cast("double") / F.count(F.lit(1)).cast("double"))
-                                         .alias("ratio"))
-    scored = occ.join(stats.hint("shuffle_hash"), [id_col, "w"])
-    score = scored.groupBy(id_col, "pid").agg(T.pyround(F.sum("ratio"), 6).alias("score"))
-    return score.join(ph.select(id_col, "pid", "phrase").hint("shuffle_hash"), [id_col, "pid"])
+    # documents without phrases keep one row with a NULL phrase
+    ph = dd.select(id_col, F.posexplode_outer(phrases).alias("pid", "phrase"))
+    ws = F.filter(F.split("phrase", " "), lambda w: w != F.lit(""))
+    occ = ph.select(id_col, "pid", "phrase", F.size(ws).alias("plen"), F.explode_outer(ws).alias("w"))
+    # degree / frequency of each word over the document: a window keyed by
+    # (doc, word), which the document partitioning already satisfies (a join
+    # on both keys would shuffle again)
+    byword = Window.partitionBy(id_col, "w")
+    occ = occ.withColumn("ratio", F.sum("plen").over(byword).cast("double")
+                         / F.count(F.lit(1)).over(byword).cast("double"))
+    return occ.groupBy(id_col, "pid").agg(T.pyround(F.sum("ratio"), 6).alias("score"),
+                                          F.any_value("phrase").alias("phrase"))
 
 
 def _rake_phrases_joined(dd: DataFrame, stop: DataFrame, id_col: str) -> DataFrame:
@@ -119,10 +124,10 @@ def _rake_phrases_joined(dd: DataFrame, stop: DataFrame, id_col: str) -> DataFra
 def rank_phrases(phrases: DataFrame, id_col: str, top_n: int, out: str) -> DataFrame:
     """Top ``top_n`` phrase occurrences by (score desc, phrase desc), as an
     ordered array."""
-    w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("phrase").desc())
+    w = Window.partitionBy(id_col).orderBy(F.col("score").desc_nulls_last(), F.col("phrase").desc_nulls_last())
     ranked = phrases.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top_n)
-    return ranked.groupBy(id_col).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_rn", "phrase"))), lambda s: s["phrase"]).alias(out))
+    picked = F.collect_list(F.when(F.col("phrase").isNotNull(), F.struct("_rn", "phrase")))
+    return ranked.groupBy(id_col).agg(F.transform(F.array_sort(picked), lambda s: s["phrase"]).alias(out))
 
 
 def _with_all_ids(dd: DataFrame, res: DataFrame, id_col: str, out: str) -> DataFrame:
@@ -139,7 +144,9 @@ def keywords_rake(df: DataFrame, stop_words: Sequence[str] | DataFrame, text_col
     spark = df.sparkSession
     dd = _layout(df, id_col, text_col, clean, partitioned)
     res = rank_phrases(rake_phrases(dd, stop_words, id_col), id_col, top_n, out)
-    return _with_all_ids(dd, res, id_col, out)
+    if isinstance(stop_words, DataFrame):
+        return _with_all_ids(dd, res, id_col, out)
+    return res
 
 
 def postprocess(df: DataFrame, col: str, stop_words: Sequence[str], out: str | None = None) -> DataFrame:
@@ -234,7 +241,8 @@ def keywords_embedding(df: DataFrame, vectors: DataFrame, stop_words: Sequence[s
     spark = df.sparkSession
     dd = _layout(df, id_col, text_col, clean, partitioned)
     toks = F.filter(F.split("_t", " "), lambda w: w != F.lit(""))
-    counts = dd.select(id_col, F.explode(toks).alias("w")).groupBy(id_col, "w").agg(F.count(F.lit(1)).alias("n"))
+    counts = dd.select(id_col, F.explode_outer(toks).alias("w")).groupBy(id_col, "w").agg(
+        F.count(F.lit(1)).alias("n"))
     k = key(F.col("w")) if key is not None else F.col("w")
     stop = sorted(set(stop_words))
     cand = (F.length("w") >= 2) & ~F.array_contains(F.array(*[F.lit(s) for s in stop]), F.col("w")) \
@@ -252,16 +260,19 @@ def keywords_embedding(df: DataFrame, vectors: DataFrame, stop_words: Sequence[s
         rows_df = spark.createDataFrame([(r["_key"], i) for i, r in enumerate(indexed)],
                                         f"_key {vectors.schema['key'].dataType.simpleString()}, _row long")
         bc = spark.sparkContext.broadcast(mat)
-        joined = counts.withColumn("_key", k).join(F.broadcast(rows_df), "_key")
+        joined = counts.withColumn("_key", k).join(F.broadcast(rows_df), "_key", "left")
+        # one row per document survives (NULL word); the lists skip rows
+        # without a word or vector, all four alike so they stay aligned
+        ok = F.col("w").isNotNull() & F.col("_row").isNotNull()
         per_doc = joined.withColumn("_cand", cand).groupBy(id_col).agg(
-            F.collect_list("w").alias("ws"), F.collect_list("_row").alias("rs"),
-            F.collect_list("n").alias("ns"), F.collect_list("_cand").alias("cs"))
+            F.collect_list(F.when(ok, F.col("w"))).alias("ws"), F.collect_list(F.when(ok, F.col("_row"))).alias("rs"),
+            F.collect_list(F.when(ok, F.col("n"))).alias("ns"),
+            F.collect_list(F.when(ok, F.col("_cand"))).alias("cs"))
         res = per_doc.mapInPandas(_embedding_topn_keys_fn(top_n, id_col, bc),
                                   schema=f"{id_col} long, kw array<string>")
-        res = res.select(id_col, F.col("kw").alias(out))
-        return _with_all_ids(dd, res, id_col, out)
+        return res.select(id_col, F.col("kw").alias(out))
     vec = vectors.select(F.col("key").alias("_key"), F.col("vec"))
-    joined = counts.withColumn("_key", k).join(vec, "_key")
+    joined = counts.filter(F.col("w").isNotNull()).withColumn("_key", k).join(vec, "_key")
     per_doc = joined.withColumn("_cand", cand).groupBy(id_col).agg(
         F.collect_list("w").alias("ws"), F.collect_list("n").alias("ns"),
         F.collect_list("_cand").alias("cs"), F.flatten(F.collect_list("vec")).alias("vs"))
