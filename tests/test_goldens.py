@@ -190,3 +190,13 @@ def test_embedding_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(KO, "VECTOR_BROADCAST_MAX_VALUES", 0)
     b = {r.doc_id: r.keywords for r in KO.keywords_embedding(d, vec, ["the", "of", "and"], top_n=3).collect()}
     assert a == b and a[2] == [] and len(a[0]) == 3
+
+
+def test_copy_groups_hot_path(spark):
+    rows = [(i, "hot text") for i in range(10, 40)] + [(i, f"cold {i}") for i in range(5)] + [(50, "cold 1")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.rep for r in D.copy_groups(d, hot_rows=3).collect()}
+    want = {i: 10 for i in range(10, 40)}
+    want.update({i: i for i in range(5)})
+    want[50] = 1
+    assert got == want
