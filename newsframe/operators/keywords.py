@@ -283,10 +283,11 @@ def keywords_embedding(df: DataFrame, vectors: DataFrame, stop_words: Sequence[s
 
 def extract_keywords(df: DataFrame, vectors: DataFrame, stop_words: Sequence[str], text_col: str = "text",
                      id_col: str = "doc_id", top_n: int = L.KEYWORDS_TOP, key=None,
-                     out: str = "keywords") -> DataFrame:
+                     out: str = "keywords", partitioned: bool = False) -> DataFrame:
     """K5: unstripped length < 100 -> []; else K3 on the C5 text, RAKE (K2)
     when K3 finds nothing, then K4 post-processing."""
-    dd = by_document(df.select(id_col, text_col), id_col)
+    dd = df.select(id_col, text_col)
+    dd = dd if partitioned else by_document(dd, id_col)
     short = dd.select(id_col, T.too_short(text_col, L.GUARD_KEYWORDS_MIN, stripped=False).alias("_short"))
     live = dd.join(short.filter(~F.col("_short")), id_col, "left_semi")
     k3 = keywords_embedding(live, vectors, stop_words, text_col, id_col, top_n, key, "k3", partitioned=True)

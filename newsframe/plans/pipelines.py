@@ -54,7 +54,7 @@ def analyze_articles(pages: DataFrame, vectors: DataFrame, stop_words: Sequence[
     """(id, url, summary, keywords array, credibility rounded to 2)."""
     c = page_content(pages, id_col, keep=("url",))
     summ = summarize(c, "content", id_col, backend=backend, fallback=fallback).select(id_col, "summary")
-    kw = extract_keywords(c, vectors, stop_words, "content", id_col, key=key)
+    kw = extract_keywords(c, vectors, stop_words, "content", id_col, key=key, partitioned=True)
     cred = credibility_heuristic(c, "content", id_col, partitioned=True)
     return (c.select(id_col, "url").join(summ, id_col).join(kw, id_col).join(cred, id_col)
             .select(id_col, "url", "summary", "keywords", "credibility"))
