@@ -234,20 +234,33 @@ _TIME_ATTRS = f"""(CASE WHEN regexp_matches({s_drop_code('html')}, '(?is)<time\\
   THEN regexp_extract({s_drop_code('html')}, '(?is)<time\\b([^>]*)>', 1) END)"""
 
 
-@register("extract_article", f"""SELECT page_id, url,
+def article_sql(src: str = "pages") -> str:
+    return f"""SELECT page_id, url,
   coalesce({_first_text_sql('h1')}, {K.q(PAGE_RULE.title_default)}) AS title,
   coalesce({_first_text_sql('a', PG.class_cond('byline-component__link').replace("'", "''"))}, 'Unknown') AS author,
   {s_attr(_TIME_ATTRS, 'datetime')} AS published,
   {E8_SQL} AS content
-FROM pages""")
+FROM {src}"""
+
+
+@register("extract_article", article_sql())
 def extract_article(spark, base):
     return PG.extract_article(_pages(spark, base), PAGE_RULE).select(
         "page_id", "url", "title", "author", "published", "content")
 
 
-@register("scrape_site")
+@register("scrape_site", f"""WITH {SITE_LINKS_SQL},
+firsts AS (SELECT host, link, min(page_id) AS page_id FROM site_links GROUP BY host, link),
+firsts2 AS (SELECT f.host, f.link, f.page_id, min(s.pos) AS pos FROM firsts f
+            JOIN site_links s ON s.host = f.host AND s.link = f.link AND s.page_id = f.page_id GROUP BY ALL),
+rk AS (SELECT host, link, row_number() OVER (PARTITION BY host ORDER BY page_id, pos, link) AS rank FROM firsts2),
+fetched AS (SELECT p.* FROM pages p JOIN (SELECT DISTINCT link FROM rk WHERE rank <= {L.ARTICLE_LIMIT}) l
+            ON p.url = l.link),
+arts AS ({article_sql('fetched')})
+SELECT page_id, url, 'pages' AS site, title, author, published, content FROM arts""")
 def scrape_site(spark, base):
-    return PG.scrape_site(_pages(spark, base), _pages(spark, base), [PAGE_RULE], L.ARTICLE_LIMIT)
+    return PG.scrape_site(_pages(spark, base), _pages(spark, base), [PAGE_RULE], L.ARTICLE_LIMIT).select(
+        "page_id", "url", "site", "title", "author", "published", "content")
 
 
 # --------------------------------------------------------------- pipelines
