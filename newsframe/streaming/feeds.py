@@ -19,7 +19,7 @@ from newsframe.functions import summary as M
 from newsframe.functions import text as T
 from newsframe.operators.dedup import drop_near_duplicates
 from newsframe.session import checkpoint_path
-from newsframe.sources.feeds import read_rss, rss_entries, with_entry_id
+from newsframe.sources.feeds import atom_entries, read_atom, read_rss, rss_entries, with_entry_id
 
 
 def dedup_batch(batch: DataFrame, threshold: float = L.DUPLICATE_THRESHOLD) -> DataFrame:
@@ -37,14 +37,17 @@ def _writer(out_path: str, threshold: float):
 
 def feed_stream(spark: SparkSession, feed_dir: str, out_path: str, name: str = "feed_stream",
                 trigger: str | None = None, dedup_links: bool = False, watermark: str = "7 days",
-                threshold: float = L.DUPLICATE_THRESHOLD) -> StreamingQuery:
+                threshold: float = L.DUPLICATE_THRESHOLD, fmt: str = "rss") -> StreamingQuery:
     """T1 (``dedup_links=False``): every poll is de-duplicated within itself
     and stored; a link repeated in a later poll is stored again.
     T2 (``dedup_links=True``): links already seen within the watermark are
     dropped across polls (``dropDuplicatesWithinWatermark``).
     ``trigger``: None = process what is there and stop (availableNow), or an
-    interval such as '30 minutes'."""
-    entries = rss_entries(read_rss(spark, feed_dir, stream=True))
+    interval such as '30 minutes'. ``fmt``: 'rss' or 'atom'."""
+    if fmt == "atom":
+        entries = atom_entries(read_atom(spark, feed_dir, stream=True))
+    else:
+        entries = rss_entries(read_rss(spark, feed_dir, stream=True))
     if dedup_links:
         entries = (entries.withColumn("_wm", F.coalesce("published_ts", F.current_timestamp()))
                    .withWatermark("_wm", watermark).dropDuplicatesWithinWatermark(["link"]).drop("_wm"))

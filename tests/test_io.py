@@ -80,3 +80,22 @@ def test_stream_scores_match_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.sql("SELECT * FROM t3_scores").collect())
     want = sorted(tuple(r) for r in stream_scores(spark.read.parquet(str(src))).collect())
     assert got == want and len(got) == 3
+
+
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><title>Atom Feed</title>
+<entry><title>A1</title><link href="http://y/1"/><content>&lt;p&gt;Body &lt;i&gt;text&lt;/i&gt;&lt;/p&gt;</content>
+<updated>2025-07-22T10:00:00Z</updated></entry>
+<entry><title>A2</title><link href="http://y/2"/><summary>Short summary</summary><content>ignored</content>
+<published>2025-07-22T11:00:00Z</published></entry>
+</feed>"""
+
+
+def test_atom_entries(spark, tmp_path):
+    from newsframe.sources.feeds import atom_entries, read_atom
+    d = tmp_path / "atom"
+    d.mkdir()
+    (d / "a.xml").write_text(ATOM)
+    rows = {r.title: r for r in atom_entries(read_atom(spark, str(d))).collect()}
+    assert rows["A1"].summary == "Body text" and rows["A1"].link == "http://y/1"
+    assert rows["A2"].summary == "Short summary" and rows["A2"].source == "Atom Feed"
+    assert str(rows["A2"].published_ts) == "2025-07-22 11:00:00"
