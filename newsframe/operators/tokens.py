@@ -27,10 +27,3 @@ def tokenize(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """One row per token (lower-cased ``[\\p{L}\\p{N}_]+`` runs) with its
     0-based position."""
     return df.select(id_col, F.posexplode(tokens(text_col)).alias(pos_col, token_col))
-
-
-def explode_words(df: DataFrame, words_col, id_col: str, pos_col: str = "pos",
-                  token_col: str = "w", keep: list[str] | None = None) -> DataFrame:
-    """Explode an array column of words with positions (keeps ``keep``)."""
-    keep = keep or []
-    return df.select(id_col, *keep, F.posexplode(words_col).alias(pos_col, token_col))
