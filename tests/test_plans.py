@@ -38,3 +38,10 @@ def test_scans_are_pruned(spark):
     plan = C.credibility_heuristic(docs)._jdf.queryExecution().executedPlan().toString()
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
     assert schemas and all(s == "struct<doc_id:bigint,text:string>" for s in schemas), schemas
+
+
+def test_cli_summarize_single_branch(spark):
+    from newsframe.plans.pipelines import cli_summarize
+    pages = spark.read.parquet(f"{BASE}/pages.parquet")
+    ex = _hash_exchanges(cli_summarize(pages))
+    assert len(ex) == 1 and ex[0].startswith("page_id"), ex
