@@ -8,9 +8,8 @@ P3 ``ingest_batch``: feed documents -> entries (S2) -> near-duplicate removal
 (U3) on the cleaned summary.
 
 Each job hash-partitions the raw (id, html) once; content extraction and all
-per-document work then run next to their document. The branches that need
-word statistics and the row-wise scores share that exchange (Spark reuses
-it) and are joined back on the id without another shuffle."""
+per-document work then run next to their document. P2 is a single branch;
+P1's branches (summary, keywords, credibility) are joined back on the id."""
 
 from __future__ import annotations
 
