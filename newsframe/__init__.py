@@ -7,4 +7,12 @@ batch and streaming frames), DataFrame -> DataFrame operators in
 Streaming jobs in ``newsframe.streaming``.
 """
 
-__version__ = "0.1.0"
+import sys
+
+from pyspark import cloudpickle
+
+__version__ = "0.2.0"
+
+# Functions that run in Python workers travel by value, so executors need no
+# copy of this package on their path (it may exist on the driver only).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,7 +4,9 @@ and size-checked broadcast."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,13 +44,17 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) is a scratch folder set."""
+    Only a local session (tests) without one gets a scratch folder; on a
+    cluster a machine-local folder would be lost with its machine, so a
+    missing setting is an error there."""
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
-        return sc.getCheckpointDir() or current
+        return current
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="newsframe-ckpt-")
     sc.setCheckpointDir(path)
     return path
@@ -61,6 +67,16 @@ def checkpoint_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: cuts lineage, survives lost executors, computes the input once and
+    gives the planner true sizes."""
+    spark = df.sparkSession
+    path = checkpoint_path(spark, f"newsframe-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small_table(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                 known_rows: int | None = None) -> DataFrame:
     """Broadcast-hint ``df`` only after checking its row count.
