@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsframe.llm import minhash, packing, topk, warc
+from newsframe.llm import layout, minhash, packing, pieces, quality, secrets, topk, toxicity, urlrules, warc
 from newsframe.sources.tables import read_table
 
 
@@ -36,6 +36,28 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 """
 
 
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"))
+
+
+def op3_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return pieces.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+                             seed=1, dropout=0.1)
+
+
+def op4_layout_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.rendered(read_table(spark, sf_dir, "pages"))
+
+
+def op5_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(read_table(spark, sf_dir, "pages"))
+
+
+def op6_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -58,6 +80,10 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -72,7 +98,9 @@ SELECT page_id, payload_bytes, payload_digest,
 """
 
 _QUERIES = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op7_best_two_fit_packing, op8_exact_top_k, op10_warc_boundary_chain)}
+    op1_minhash_near_dedup, op2_quality_divergence, op3_sentencepiece_dropout, op4_layout_rendering,
+    op5_url_association_rules, op6_weak_toxicity, op7_best_two_fit_packing, op8_exact_top_k, op9_secret_forest,
+    op10_warc_boundary_chain)}
 _SQL = {"op1_minhash_near_dedup": OP1_SQL, "op8_exact_top_k": OP8_SQL, "op10_warc_boundary_chain": OP10_SQL}
 
 

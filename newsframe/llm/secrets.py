@@ -49,7 +49,7 @@ OTHER_WORDS = (r"commit|revision|checksum|sha1|sha256|md5|digest|hash|uuid|id|re
 DICTIONARY = (r"change|example|sample|dummy|test|your|here|placeholder|password|secret|token|server|version|release|"
               r"data|user|name|file|image|report|final|draft|update|window|system|number|order|project|value|default|"
               r"enter|insert|none|null|true|false|admin|demo|xxx+|the|and|ing|tion")
-TRAIN_DOCS = 4_000      # documents whose words surround the derived labelled findings, at most (about)
+TRAIN_DOCS = 1_500      # documents whose words surround the derived labelled findings, at most (about)
 TREES, DEPTH, SEED = 30, 8, 7
 FLAG_AT = 0.5
 
