@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsframe.session import written_table
@@ -69,27 +69,36 @@ def _kind(found: Column) -> Column:
     return out
 
 
+def _found(text: str = "text") -> tuple[Column, Column]:
+    """The candidates of a text, and the parts of the text around them."""
+    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
+
+
+def _key(text: str = "text") -> Column:
+    """Tells apart rows that repeat an id with other texts."""
+    return F.xxhash64(text)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, finding, start, length, kind, before, value, after): start and
-    length (characters) of the value in the text."""
+    """(doc_id, key, finding, start, length, kind, before, value, after): start
+    and length (characters) of the value in the text."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    d = d.where(F.col("text").rlike(CANDIDATE))
-    d = d.withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
-    d = d.withColumn("parts", F.split("text", CANDIDATE, -1)).drop("text")
-    ends = F.transform(F.sequence(F.lit(1), F.size("found")), lambda i: F.aggregate(
-        F.slice(F.zip_with("parts", "found", lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0))), 1, i),
-        F.lit(0).cast("long"), lambda a, x: a + x))
-    d = d.withColumn("ends", ends)
-    d = d.select("doc_id", "parts", F.posexplode(F.arrays_zip("found", "ends")).alias("finding", "x"))
-    value = _value(F.col("x.found"))
-    before = F.concat(F.element_at("parts", F.col("finding") + 1),
-                      F.substr(F.col("x.found"), F.lit(1), F.length("x.found") - F.length(value)))
-    d = d.select("doc_id", "finding", F.col("x.ends").alias("end"), _kind(F.col("x.found")).alias("kind"),
-                 F.right(before, F.lit(NEAR)).alias("before"), value.alias("value"),
-                 F.left(F.element_at("parts", F.col("finding") + 2), F.lit(NEAR)).alias("after"))
+    d = d.where(F.col("text").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
+    found, parts = _found()
+    d = d.select("doc_id", "row", _key().alias("key"), found.alias("found"), parts.alias("parts"))
+    # only what each candidate needs of the text goes on
+    part = F.col("parts")
+    d = d.select("doc_id", "row", "key", F.posexplode(F.transform("found", lambda m, i: F.struct(
+        m.alias("found"), F.right(F.get(part, i), F.lit(NEAR)).alias("tail"),
+        F.left(F.get(part, i + 1), F.lit(NEAR)).alias("after"),
+        (F.length(F.get(part, i)) + F.length(m)).cast("long").alias("step")))).alias("finding", "x"))
+    d = d.select("doc_id", "row", "key", "finding", "x.*", _value(F.col("x.found")).alias("value"),
+                 _kind(F.col("x.found")).alias("kind"))
+    to_here = Window.partitionBy("row").orderBy("finding").rowsBetween(Window.unboundedPreceding, 0)
     length = F.length("value").cast("long")
-    return d.select("doc_id", "finding", (F.col("end") - length).alias("start"), length.alias("length"), "kind",
-                    "before", "value", "after")
+    before = F.concat("tail", F.left("found", F.length("found") - F.length("value")))
+    return d.select("doc_id", "key", "finding", (F.sum("step").over(to_here) - length).alias("start"),
+                    length.alias("length"), "kind", F.right(before, F.lit(NEAR)).alias("before"), "value", "after")
 
 
 # ------------------------------------------------------------ features
@@ -185,35 +194,46 @@ def train(findings: DataFrame, seed: int = SEED) -> RandomForestClassificationMo
 
 # ------------------------------------------------------------ scan
 
-def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """(doc_id, finding, start, length, kind, value, score, is_secret) per
-    candidate of every whole text. Without labelled findings, those derived
-    from ``docs`` train the forest."""
-    spark = docs.sparkSession
+def scored(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """The candidates with score and is_secret."""
     found = written_table(candidates(docs), "secret-candidates")
     if findings is None:
-        findings = written_table(labelled_findings(docs), "secret-labelled")
+        findings = labelled_findings(docs)
+    findings = written_table(findings, "secret-labelled")
     if findings.isEmpty():
-        return found.select("doc_id", "finding", "start", "length", "kind", "value", F.lit(1.0).alias("score"),
-                            F.lit(True).alias("is_secret"))
+        return found.withColumns({"score": F.lit(1.0), "is_secret": F.lit(True)})
     model = train(findings)
     model.setProbabilityCol("prob").setRawPredictionCol("").setPredictionCol("")
     rows, names = features(found)
-    scored = model.transform(VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(rows))
-    scored = scored.withColumn("score", vector_to_array("prob")[1])
-    return scored.select("doc_id", "finding", "start", "length", "kind", "value", "score",
-                         (F.col("score") >= FLAG_AT).alias("is_secret"))
+    rows = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(rows)
+    score = vector_to_array("prob")[1]
+    return (model.transform(rows).select(*found.columns, score.alias("score"))
+                 .withColumn("is_secret", F.col("score") >= FLAG_AT))
+
+
+def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """(doc_id, finding, start, length, kind, value, score, is_secret) per
+    candidate of every whole text. Without labelled findings, those derived
+    from ``docs`` train the forest."""
+    return scored(docs, findings).select("doc_id", "finding", "start", "length", "kind", "value", "score", "is_secret")
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every confirmed secret of a document replaced in its
-    text. Documents without candidates are passed on as they are; only the
-    others are joined with their findings."""
-    bad = (scan(docs).where("is_secret").groupBy(F.col("doc_id").alias("_id"))
-                     .agg(F.sort_array(F.collect_set(F.struct(F.length("value").alias("n"), "value")), asc=False).alias("_bad")))
-    bad = written_table(bad, "secret-found")
-    some = F.coalesce(F.col("text").cast("string").rlike(CANDIDATE), F.lit(False))
-    clean = F.aggregate(F.coalesce("_bad", F.array().cast("array<struct<n:int,value:string>>")), F.col("text"),
-                        lambda t, b: F.replace(t, b["value"], F.lit(mark)))
-    hit = docs.where(some).join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("text", clean)
+    """``docs`` with every confirmed secret replaced in the texts. Documents
+    without candidates are passed on as they are; only the others are joined
+    with their findings."""
+    flags = (scored(docs).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+             .agg(F.array_sort(F.collect_set(F.struct("finding", "is_secret"))).alias("_flags"),
+                  F.bool_or("is_secret").alias("_any")).where("_any").drop("_any"))
+    flags = written_table(flags, "secret-flags")
+    text = F.col("text").cast("string")
+    some = F.coalesce(text.rlike(CANDIDATE), F.lit(False))
+    hit = docs.where(some).join(flags, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+    found, parts = _found()
+    hit = hit.withColumns({"_found": F.when(F.col("_flags").isNotNull(), found), "_parts": parts})
+    tail = F.element_at("_parts", -1)
+    shown = F.transform("_found", lambda m, i: F.concat(F.get(F.col("_parts"), i), F.when(
+        F.get(F.col("_flags"), i)["is_secret"], F.concat(F.left(m, F.length(m) - F.length(_value(m))), F.lit(mark)))
+        .otherwise(m)))
+    hit = hit.withColumn("text", F.coalesce(F.concat(F.array_join(shown, ""), tail), F.col("text")))
     return docs.where(~some).unionByName(hit.select(*docs.columns))
