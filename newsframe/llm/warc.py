@@ -154,7 +154,7 @@ def reachable(c: DataFrame) -> DataFrame:
     jumps = (c.where("succ IS NOT NULL AND (next IS NULL OR succ <> next)")
               .select("file", F.col("succ").alias("off"), F.lit(True).alias("aimed")).distinct())
     c = c.join(jumps, ["file", "off"], "left")
-    head = F.coalesce(F.col("aimed") | (F.col("prev") != F.col("off")), F.lit(True)) | F.col("prev").isNull()
+    head = F.coalesce("aimed", F.lit(False)) | F.col("prev").isNull() | (F.col("prev") != F.col("off"))
     c = c.withColumn("run", F.max(F.when(head, F.col("off"))).over(w))
     c = written_table(c.drop("prev", "next", "aimed"), "warc-runs")
     runs = c.groupBy("file", "run").agg(F.max_by("succ", "off").alias("to"))
