@@ -9,11 +9,12 @@ to one representative before any pairing. Candidates come from equal band
 keys; the sketch estimate removes those that are far below the threshold, and
 the rest is confirmed on the full shingle sets.
 
-Pairing stays linear in hot bands: first every document is compared with the
-smallest document of its bands only. Links make components; afterwards just
-the pairs of a band that lie in different components are left, and in each
-band they have a side outside the band's largest component. Those are all
-checked, so no pair of a band is skipped.
+Pairing stays linear in hot bands: in each of ``HUB_ROUNDS`` rounds every
+document is compared with one hub, the most central document (that meets most
+others in its bands) of a band, chosen by how many bands they share. Links
+make components; afterwards just the pairs of a band that lie in different
+components are left, and in each band they have a side outside the band's
+largest component. Those are all checked, so no pair of a band is skipped.
 
 A shingle is the hash (64 bits) of five words; documents with fewer words
 have their whole sequence as the only shingle. Words are
@@ -40,8 +41,10 @@ from newsframe.llm.common import chunks, worker_cache
 from newsframe.session import written_table
 
 SHINGLE_WORDS = 5
-SAMPLES, ROWS = 128, 4          # MinHash samples, samples per band: a pair at 0.75 is missed with 5e-6
-SKETCH_BITS = 512
+SAMPLES = 256                   # MinHash samples, all in the sketch
+BANDS, ROWS = 32, 4             # bands of samples: a pair at 0.75 is missed with 5e-6
+SKETCH_BITS = 1024
+HUB_ROUNDS = 2
 SIGMAS = 5                      # a pair at the threshold fails the sketch filter with under 1e-6
 THRESHOLD = (75, 100)           # similarity as a fraction
 CACHE_WORDS = 700_000
@@ -126,8 +129,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                     continue
                 seq.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 sig = signature(sets, mult, add)
-                key = np.arange(SAMPLES // ROWS, dtype=np.uint64)
-                for col in sig.reshape(-1, ROWS).T:
+                key = np.arange(BANDS, dtype=np.uint64)
+                for col in sig[:BANDS * ROWS].reshape(-1, ROWS).T:
                     key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + col)
                 bands.append(key.view(np.int64)), odd.append(odd_sketch(sig))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(seq, pa.binary()), pa.array(size),
@@ -216,6 +219,21 @@ def _labelled(nodes: DataFrame, comp: DataFrame) -> DataFrame:
                  .withColumn("comp", F.coalesce("comp", "rep")))
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _hub_pairs(lab: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """(a, b): each document b with the hub a that it meets in most bands, if
+    that is of another component. ``lab``: (band, rep, comp, degree)."""
+    hub = lab.groupBy("band").agg(F.max_by(F.struct("rep", "comp"), F.struct("degree", -F.col("rep"))).alias("hub"))
+    met = (lab.join(hub, "band").where(F.col("comp") != F.col("hub.comp"))
+              .groupBy(F.col("rep").alias("b"), F.col("hub.rep").alias("a")).agg(F.count("*").alias("bands")))
+    if tested is not None:
+        met = met.join(tested, ["a", "b"], "left_anti")
+    return met.groupBy("b").agg(F.max_by("a", F.struct("bands", -F.col("a"))).alias("a")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, num: int = THRESHOLD[0], den: int = THRESHOLD[1]) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``; documents
     link when their sets' similarity is at least num / den."""
@@ -228,20 +246,25 @@ def near_duplicates(docs: DataFrame, num: int = THRESHOLD[0], den: int = THRESHO
                  .dropDuplicates(["seq"])
                  .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands"))
     band = reps.select("rep", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
-    shared = written_table(shared.select("band", "hub"), "minhash-shared")
+    shared = band.groupBy("band").agg(F.count_distinct("rep").alias("size")).where("size > 1")
     member = written_table(band.join(shared, "band"), "minhash-bands")
-    part = written_table(reps.drop("bands").join(member.select("rep").distinct(), "rep", "left_semi"), "minhash-parts")
+    degree = member.groupBy("rep").agg(F.sum("size").alias("degree"))
+    part = written_table(reps.drop("bands").join(degree, "rep"), "minhash-parts")
 
     def side(x):
         return part.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
 
-    # 1: each document with the smallest plausible hub of its bands
-    hubs = (member.where("rep <> hub").select(F.col("rep").alias("b"), F.col("hub").alias("a")).distinct()
-                  .join(side("b"), "b").join(side("a"), "a").where(_plausible(num, den)))
-    first = written_table(hubs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "minhash-pairs")
-    links = written_table(verified(first, docs, num, den).union(_same_id(classes, named)), "minhash-links")
-    comp = components(links)
+    # 1: each document with a hub of its bands, in rounds
+    links = written_table(_same_id(classes, named), "minhash-links")
+    comp, tested = components(links), None
+    for _ in range(HUB_ROUNDS):
+        lab = _labelled(member.select("band", "rep"), comp)
+        pairs = _hub_pairs(lab.join(part.select("rep", "degree"), "rep"), tested)
+        pairs = written_table(pairs.join(side("b"), "b").join(side("a"), "a").where(_plausible(num, den))
+                              .select("a", "b"), "minhash-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = written_table(links.union(verified(pairs, docs, num, den)), "minhash-links")
+        comp = components(links)
 
     # 2: what is left between components of the same band
     lab = _labelled(member.select("band", "rep"), comp)
@@ -255,7 +278,7 @@ def near_duplicates(docs: DataFrame, num: int = THRESHOLD[0], den: int = THRESHO
              .where((F.col("comp_a") != F.col("comp_b")) & _plausible(num, den)
                     & ((F.col("comp_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b"))))
              .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
-             .join(first, ["a", "b"], "left_anti"))
+             .join(_ordered(tested), ["a", "b"], "left_anti"))
     rest = written_table(rest, "minhash-pairs")
     if not rest.isEmpty():
         links = links.union(verified(rest, docs, num, den))
