@@ -7,11 +7,30 @@ import types
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from newsframe.session import written_table
 
 #: Text characters that Python code works on at once.
 CHUNK_CHARS = 2_000_000
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, bad: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in the only column of ``bad``."""
+    bad_id = fresh("bad_id", docs)
+    bad = written_table(bad.distinct().toDF(bad_id), name)
+    return docs.join(bad, F.col("doc_id").cast("long") == F.col(bad_id), "left_anti")
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker process, so that what a
     task has worked out serves the worker's later tasks as well."""

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsframe.llm.common import chunks, worker_cache
+from newsframe.llm.common import chunks, without, worker_cache
 from newsframe.session import written_table
 
 SHINGLE_WORDS = 5
@@ -301,6 +301,5 @@ def _same_id(classes: DataFrame, named: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, num: int = THRESHOLD[0], den: int = THRESHOLD[1]) -> DataFrame:
     """The rows of ``docs`` whose document is kept: one of each group."""
-    gone = near_duplicates(docs, num, den).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = written_table(gone, "minhash-gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, num, den).where("NOT kept").select("doc_id")
+    return without(docs, gone, "minhash-gone")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsframe.llm.common import chunks
+from newsframe.llm.common import chunks, without
 from newsframe.session import written_table
 
 MIN_WORDS = 50
@@ -258,5 +258,4 @@ def quality(docs: DataFrame, class_limit: tuple = CLASS_LIMIT, word_limit: tuple
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep (a rejected id goes with all
     its rows; rows without an id have no verdict to join and stay)."""
-    bad = quality(docs).where("NOT kept").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(written_table(bad, "quality-bad"), F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    return without(docs, quality(docs).where("NOT kept").select("doc_id"), "quality-bad")

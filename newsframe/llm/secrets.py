@@ -27,6 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsframe.llm.common import fresh
 from newsframe.session import written_table
 
 NAMES = r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key)"
@@ -222,18 +223,20 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every confirmed secret replaced in the texts. Documents
     without candidates are passed on as they are; only the others are joined
     with their findings."""
-    flags = (scored(docs).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-             .agg(F.array_sort(F.collect_set(F.struct("finding", "is_secret"))).alias("_flags"),
-                  F.bool_or("is_secret").alias("_any")).where("_any").drop("_any"))
+    n_id, n_key, n_flags, n_found, n_parts = (fresh(x, docs) for x in ("id_", "key_", "flags_", "found_", "parts_"))
+    flags = (scored(docs).groupBy(F.col("doc_id").alias(n_id), F.col("key").alias(n_key))
+             .agg(F.array_sort(F.collect_set(F.struct("finding", "is_secret"))).alias(n_flags),
+                  F.bool_or("is_secret").alias("any")).where("any").drop("any"))
     flags = written_table(flags, "secret-flags")
     text = F.col("text").cast("string")
     some = F.coalesce(text.rlike(CANDIDATE), F.lit(False))
-    hit = docs.where(some).join(flags, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col(n_id)) & (F.xxhash64(text) == F.col(n_key))
+    hit = docs.where(some).join(flags, same, "left")
     found, parts = _found()
-    hit = hit.withColumns({"_found": F.when(F.col("_flags").isNotNull(), found), "_parts": parts})
-    tail = F.element_at("_parts", -1)
-    shown = F.transform("_found", lambda m, i: F.concat(F.get(F.col("_parts"), i), F.when(
-        F.get(F.col("_flags"), i)["is_secret"], F.concat(F.left(m, F.length(m) - F.length(_value(m))), F.lit(mark)))
+    hit = hit.withColumns({n_found: F.when(F.col(n_flags).isNotNull(), found), n_parts: parts})
+    shown = F.transform(n_found, lambda m, i: F.concat(F.get(F.col(n_parts), i), F.when(
+        F.get(F.col(n_flags), i)["is_secret"], F.concat(F.left(m, F.length(m) - F.length(_value(m))), F.lit(mark)))
         .otherwise(m)))
-    hit = hit.withColumn("text", F.coalesce(F.concat(F.array_join(shown, ""), tail), F.col("text")))
+    clean = F.concat(F.array_join(shown, ""), F.element_at(n_parts, -1))
+    hit = hit.withColumn("text", F.coalesce(clean, F.col("text")))
     return docs.where(~some).unionByName(hit.select(*docs.columns))
