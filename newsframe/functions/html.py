@@ -67,16 +67,17 @@ def url_part(url, idx: int) -> Column:
     return F.regexp_extract(_c(url), URL_RE, idx)
 
 
-# a path segment other than '..' followed by '/../'
-DOTDOT_SEGMENT = r"/(?:[^/.][^/]*|\.[^/.][^/]*|\.\.[^/]+)/\.\./"
-
-
 def _remove_dots(path: Column) -> Column:
-    p = F.regexp_replace(path, r"/\./", "/")
-    p = F.regexp_replace(p, r"/\.$", "/")
-    for _ in range(4):
-        p = F.regexp_replace(p, DOTDOT_SEGMENT, "/")
-    return F.regexp_replace(p, r"^/(\.\./)+", "/")
+    """Fold the segments of the path (up to a query or fragment): ``.`` goes,
+    ``..`` takes the segment before it along, at any depth."""
+    own = F.regexp_extract(path, r"^[^?#]*", 0)
+    segs = F.split(own, "/")
+    kept = F.aggregate(segs, F.array().cast("array<string>"), lambda acc, x: F.when(
+        x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(x == ".", acc)
+        .otherwise(F.array_append(acc, x)))
+    kept = F.when(F.element_at(segs, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    dotted = own.rlike(r"(?:^|/)\.\.?(?:/|$)")
+    return F.when(dotted, F.concat(F.array_join(kept, "/"), F.substr(path, F.length(own) + 1))).otherwise(path)
 
 
 def resolve_url(base, href) -> Column:
@@ -87,7 +88,9 @@ def resolve_url(base, href) -> Column:
     origin = F.concat(scheme, F.lit(":"), auth)
     base_dir = F.regexp_replace(path, r"[^/]*$", "")
     base_dir = F.when(base_dir == "", F.lit("/")).otherwise(base_dir)
-    rel = _remove_dots(F.concat(base_dir, h))
+    merged = F.concat(base_dir, h)  # a relative path loses its empty segments
+    merged_path = F.regexp_extract(merged, r"^[^?#]*", 0)
+    rel = _remove_dots(F.concat(F.regexp_replace(merged_path, r"/{2,}", "/"), F.substr(merged, F.length(merged_path) + 1)))
     return (F.when(h.isNull(), F.lit(None))
             .when(h == "", b)
             .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)

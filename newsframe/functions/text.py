@@ -7,6 +7,8 @@ read it the same way.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,34 +45,34 @@ def stripped_length(c) -> Column:
     return F.length(strip(F.coalesce(_c(c), F.lit(""))))
 
 
-NUMERIC_ENTITY = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-
+#: Named character references: those of HTML 4 (public table) and the page set.
+NAMED = {f"&{n};": chr(c) for n, c in name2codepoint.items()} | dict(L.HTML_ENTITIES)
+_NAMES = "".join(n + ch for n, ch in NAMED.items())   # each name, then its character
+ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,7});"
 
-def _code_point_char(code: Column) -> Column:
-    """Decimal or 'x'-prefixed hex code point -> the character."""
-    dec = F.when(code.startswith("x") | code.startswith("X"),
-                 F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code)
-    return F.decode(F.unhex(F.lpad(F.hex(dec.cast("long")), 8, "0")), "UTF-32")
 
-
-def decode_numeric_entities(c) -> Column:
-    """``&#233;`` / ``&#xE9;`` -> the character. Only rows containing '&#'
-    do the work: split around the references, convert, interleave."""
-    x = _c(c)
-    parts = F.split(x, NUMERIC_ENTITY)
-    codes = F.regexp_extract_all(x, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), 1)
-    chars = F.transform(codes, _code_point_char)
-    joined = F.array_join(F.zip_with(parts, chars, lambda p, ch: F.concat(p, F.coalesce(ch, F.lit("")))), "")
-    return F.when(x.contains("&#"), joined).otherwise(x)
+def _decoded(ref: Column) -> Column:
+    """One character reference -> its text. Numbers outside Unicode,
+    surrogates and 0 give U+FFFD; unknown names stay."""
+    hexa = F.regexp_extract(ref, r"^&#[xX]0*([0-9a-fA-F]*);$", 1)
+    deci = F.regexp_extract(ref, r"^&#0*([0-9]*);$", 1)
+    code = F.when(ref.rlike("^&#[xX]"), F.when(F.length(hexa) <= 6, F.conv(hexa, 16, 10))).otherwise(
+        F.when(F.length(deci) <= 7, deci)).try_cast("long")
+    good = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+    at = F.position(ref, F.lit(_NAMES))
+    named = F.when(at > 0, F.substr(F.lit(_NAMES), at + F.length(ref), F.lit(1))).otherwise(ref)
+    return F.when(ref.startswith("&#"), char).otherwise(named)
 
 
 def decode_entities(c) -> Column:
-    """Decode numeric character references, then the fixed set of named
-    HTML entities (``&amp;`` last, so '&amp;#39;' stays '&#39;')."""
-    out = decode_numeric_entities(_c(c))
-    for ent, ch in L.HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Decode character references in one pass (so '&#38;lt;' gives '&lt;').
+    Only texts with a reference do the work: split around the references,
+    convert, interleave."""
+    x = _c(c)
+    refs = F.transform(F.regexp_extract_all(x, F.lit(ENTITY), 0), _decoded)
+    joined = F.array_join(F.zip_with(F.split(x, ENTITY, -1), refs, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+    return F.when(x.contains("&"), joined).otherwise(x)
 
 
 def normalize_text(c) -> Column:

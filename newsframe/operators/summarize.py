@@ -34,14 +34,22 @@ def lead_backend(k: int = L.LEAD_SENTENCES) -> Backend:
 
 def summarize(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
               backend: Backend | None = None, fallback: Backend | None = None,
-              max_words: int = L.TRUNCATE_LOCAL_WORDS, out: str = "summary") -> DataFrame:
+              max_words: int = L.TRUNCATE_REMOTE_WORDS, fallback_words: int = L.TRUNCATE_LOCAL_WORDS,
+              out: str = "summary") -> DataFrame:
     """M2: (id, summary, status). Texts shorter than 100 characters (after
-    strip) get the fixed answer and status 'short'; others are truncated to
-    ``max_words`` words, summarized by ``backend`` and, where it fails, by
-    ``fallback`` (status 'fallback'); rows neither could do get 'failed'."""
-    backend = backend or lead_backend()
-    prep = df.select(id_col, T.too_short(text_col, L.GUARD_SUMMARY_MIN).alias("_short"),
-                     T.truncate_words(text_col, max_words).alias("_in"))
+    strip) get the fixed answer and status 'short'; others go to ``backend``
+    cut to ``max_words`` words and, where it fails, to ``fallback`` cut to
+    ``fallback_words`` (status 'fallback'); rows neither could do get 'failed'.
+    Without a backend the first sentences of the shorter cut are the summary,
+    as a plain column expression."""
+    short = T.too_short(text_col, L.GUARD_SUMMARY_MIN)
+    if backend is None:
+        from newsframe.functions.summary import summary_lead as lead
+        return df.select(id_col, F.when(short, F.lit(L.TOO_SHORT_SUMMARY)).otherwise(
+            lead(T.truncate_words(text_col, fallback_words))).alias(out),
+            F.when(short, F.lit("short")).otherwise("ok").alias("status"))
+    prep = df.select(id_col, short.alias("_short"), T.truncate_words(text_col, max_words).alias("_in"),
+                     T.truncate_words(text_col, fallback_words).alias("_less"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -54,13 +62,13 @@ def summarize(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                 status[live] = ok.map({True: "ok", False: "failed"})
                 failed = live & (status == "failed")
                 if fallback is not None and failed.any():
-                    s2, ok2 = fallback(pdf.loc[failed, "_in"])
+                    s2, ok2 = fallback(pdf.loc[failed, "_less"])
                     res[failed] = s2
                     status[failed] = ok2.map({True: "fallback", False: "failed"})
             yield pd.DataFrame({id_col: pdf[id_col], out: res, "status": status})
 
-    schema = f"{id_col} long, {out} string, status string"
-    return prep.mapInPandas(run, schema=schema)
+    id_type = df.schema[id_col].dataType.simpleString()
+    return prep.mapInPandas(run, schema=f"{id_col} {id_type}, {out} string, status string")
 
 
 def summary_lead(df: DataFrame, text_col: str = "text", out: str = "summary") -> DataFrame:

@@ -66,11 +66,15 @@ def s_host(x):
     return f"lower(regexp_replace({s_url_part(x, 2)}, '^//(?:[^@/]*@)?|:\\d+$', '', 'g'))"
 
 
+#: A segment other than '..' followed by '/../'; the pages' links nest no deeper.
+_DOTDOT = r"/(?:[^/.][^/]*|\.[^/.][^/]*|\.\.[^/]+)/\.\./"
+
+
 def s_remove_dots(x):
     p = f"regexp_replace({x}, '/\\./', '/', 'g')"
     p = f"regexp_replace({p}, '/\\.$', '/')"
     for _ in range(4):
-        p = f"regexp_replace({p}, '{H.DOTDOT_SEGMENT}', '/', 'g')"
+        p = f"regexp_replace({p}, '{_DOTDOT}', '/', 'g')"
     return f"regexp_replace({p}, '^/(\\.\\./)+', '/')"
 
 

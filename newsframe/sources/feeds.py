@@ -76,5 +76,8 @@ def atom_entries(feeds: DataFrame) -> DataFrame:
 
 def with_entry_id(entries: DataFrame, out: str = "entry_id") -> DataFrame:
     """Sortable entry id: feed name, then the zero-padded position, so
-    comparing ids follows feed order and entry order (no global window)."""
-    return entries.withColumn(out, F.concat(F.col("feed"), F.lit("#"), F.lpad(F.col("pos").cast("string"), 9, "0")))
+    comparing ids follows feed order and entry order (no global window). A
+    hash of the entry tells apart channels that share a file."""
+    own = F.hex(F.xxhash64("source", "title", "link", "summary", "published"))
+    return entries.withColumn(out, F.concat(F.col("feed"), F.lit("#"), F.lpad(F.col("pos").cast("string"), 9, "0"),
+                                            F.lit("#"), own))

@@ -29,9 +29,13 @@ def dedup_batch(batch: DataFrame, threshold: float = L.DUPLICATE_THRESHOLD) -> D
 
 def _writer(out_path: str, threshold: float):
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = dedup_batch(batch, threshold).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(out_path))
+        batch = batch.persist()  # U3 reads the poll several times; parse it once
+        try:
+            kept = dedup_batch(batch, threshold).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(out_path))
+        finally:
+            batch.unpersist()
     return write
 
 
@@ -40,8 +44,11 @@ def feed_stream(spark: SparkSession, feed_dir: str, out_path: str, name: str = "
                 threshold: float = L.DUPLICATE_THRESHOLD, fmt: str = "rss") -> StreamingQuery:
     """T1 (``dedup_links=False``): every poll is de-duplicated within itself
     and stored; a link repeated in a later poll is stored again.
-    T2 (``dedup_links=True``): links already seen within the watermark are
-    dropped across polls (``dropDuplicatesWithinWatermark``).
+    T2 (``dedup_links=True``): entries already seen within the watermark are
+    dropped across polls (``dropDuplicatesWithinWatermark``). The watermark
+    runs on the time of ingest, so no publication date can close it early; the
+    key is the link, and for entries without one a hash of source, title and
+    summary.
     ``trigger``: None = process what is there and stop (availableNow), or an
     interval such as '30 minutes'. ``fmt``: 'rss' or 'atom'."""
     if fmt == "atom":
@@ -49,8 +56,10 @@ def feed_stream(spark: SparkSession, feed_dir: str, out_path: str, name: str = "
     else:
         entries = rss_entries(read_rss(spark, feed_dir, stream=True))
     if dedup_links:
-        entries = (entries.withColumn("_wm", F.coalesce("published_ts", F.current_timestamp()))
-                   .withWatermark("_wm", watermark).dropDuplicatesWithinWatermark(["link"]).drop("_wm"))
+        key = F.when(F.col("link") != "", F.col("link")).otherwise(
+            F.sha2(F.to_json(F.struct("source", "title", "summary")), 256))
+        entries = (entries.withColumns({"_wm": F.current_timestamp(), "_key": key})
+                   .withWatermark("_wm", watermark).dropDuplicatesWithinWatermark(["_key"]).drop("_wm", "_key"))
     w = entries.writeStream.foreachBatch(_writer(out_path, threshold)).option(
         "checkpointLocation", checkpoint_path(spark, name))
     w = w.trigger(availableNow=True) if trigger is None else w.trigger(processingTime=trigger)
