@@ -54,12 +54,11 @@ ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,7});"
 def _decoded(ref: Column) -> Column:
     """One character reference -> its text. Numbers outside Unicode,
     surrogates and 0 give U+FFFD; unknown names stay."""
-    hexa = F.regexp_extract(ref, r"^&#[xX]0*([0-9a-fA-F]*);$", 1)
-    deci = F.regexp_extract(ref, r"^&#0*([0-9]*);$", 1)
-    code = F.when(ref.rlike("^&#[xX]"), F.when(F.length(hexa) <= 6, F.conv(hexa, 16, 10))).otherwise(
-        F.when(F.length(deci) <= 7, deci)).try_cast("long")
-    good = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code <= 0x10FFFF))
-    char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+    digits = F.regexp_extract(ref, r"^&#[xX]?0*([0-9a-fA-F]{0,7});$", 1)
+    code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+    good = lambda c: c.between(1, 0xD7FF) | c.between(0xE000, 0x10FFFF)
+    char = F.transform(F.array(code), lambda c: F.decode(F.unhex(F.lpad(F.hex(  # names the code once
+        F.when(good(c), c).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32"))[0]
     at = F.position(ref, F.lit(_NAMES))
     named = F.when(at > 0, F.substr(F.lit(_NAMES), at + F.length(ref), F.lit(1))).otherwise(ref)
     return F.when(ref.startswith("&#"), char).otherwise(named)
