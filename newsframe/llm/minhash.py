@@ -4,9 +4,13 @@ One pass over the texts gives each document its set size, the band keys of
 its MinHash signature and an odd sketch: every (sample, minimum) pair toggles
 one bit of a parity bitmap, so the population count of two sketches' XOR
 estimates the number of differing samples, most precisely at high similarity
-(Mitzenmacher, Pagh, Pham 2014). Documents of equal word sequences collapse
+(Mitzenmacher, Pagh, Pham 2014). A second bitmap takes the whole set in the
+same way: two of those never differ in more bits than the sets in shingles, so
+a pair whose bitmaps differ in too many bits cannot reach the threshold; for
+sets that are small beside the bitmap this is almost as sharp as the sets
+themselves. Documents of equal word sequences collapse
 to one representative before any pairing. Candidates come from equal band
-keys; the sketch estimate removes those that are far below the threshold, and
+keys; the estimate and the bound remove those that are below the threshold, and
 the rest is confirmed on the full shingle sets.
 
 Pairing stays linear in hot bands: in each of ``HUB_ROUNDS`` rounds every
@@ -90,8 +94,11 @@ def signature(sets: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray
 
 def odd_sketch(sig: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Parity bitmap of the samples, as signed 64-bit words."""
-    x = _mix(sig.astype(np.uint64) + (np.arange(len(sig), dtype=np.uint64) << np.uint64(32)))
-    odd = np.bincount((x % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return _parity(_mix(sig.astype(np.uint64) + (np.arange(len(sig), dtype=np.uint64) << np.uint64(32))), bits)
+
+
+def _parity(hashes: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -109,36 +116,39 @@ def _hashes() -> WordHashes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, seq, n_shingles, bands, sketch): seq is a 128-bit digest of
-    the word sequence (null without words)."""
+    """(doc_id, seq, n_shingles, bands, sketch, whole): seq is a 128-bit digest
+    of the word sequence (null without words), whole the set's own bitmap."""
     schema = pa.schema([("doc_id", pa.int64()), ("seq", pa.binary()), ("n_shingles", pa.int64()),
-                        ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+                        ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())),
+                        ("whole", pa.list_(pa.int64()))])
     rng = np.random.default_rng(20240229)
     mult = rng.integers(0, 2 ** 31, SAMPLES, np.uint32) * np.uint32(2) + np.uint32(1)
     add = rng.integers(0, 2 ** 32, SAMPLES, np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in chunks(batches):
-            seq, size, bands, odd = [], [], [], []
+            seq, size, bands, odd, whole = [], [], [], [], []
             for text in texts:
                 words, known = _split(text), _hashes()
                 sets = shingles(words, known)
                 size.append(len(sets))
                 if not len(sets):
-                    seq.append(None), bands.append([]), odd.append([])
+                    seq.append(None), bands.append([]), odd.append([]), whole.append([])
                     continue
                 seq.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 sig = signature(sets, mult, add)
                 key = np.arange(BANDS, dtype=np.uint64)
                 for col in sig[:BANDS * ROWS].reshape(-1, ROWS).T:
                     key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + col)
-                bands.append(key.view(np.int64)), odd.append(odd_sketch(sig))
+                bands.append(key.view(np.int64)), odd.append(odd_sketch(sig)), whole.append(_parity(sets))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(seq, pa.binary()), pa.array(size),
-                                              pa.array(bands, schema[3].type), pa.array(odd, schema[4].type)],
+                                              pa.array(bands, schema[3].type), pa.array(odd, schema[4].type),
+                                              pa.array(whole, schema[5].type)],
                                              schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, seq binary, n_shingles long, bands array<long>, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, seq binary, n_shingles long, bands array<long>, sketch array<long>, "
+                                "whole array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -172,9 +182,11 @@ def _most_odd_bits(num: int, den: int) -> int:
 
 
 def _plausible(num: int, den: int) -> Column:
-    """Set sizes and sketches allow a link between the sides a and b."""
+    """Set sizes, sketches and whole bitmaps allow a link between the sides a
+    and b. Linked sets differ in at most (den - num) / (den + num) of their sizes' sum."""
     sizes = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    return sizes & (_odd_bits("s_a", "s_b") <= _most_odd_bits(num, den))
+    differ = _odd_bits("w_a", "w_b") * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+    return sizes & (_odd_bits("s_a", "s_b") <= _most_odd_bits(num, den)) & differ
 
 
 def verified(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
@@ -244,7 +256,7 @@ def near_duplicates(docs: DataFrame, num: int = THRESHOLD[0], den: int = THRESHO
     # the smallest id of each class stands for it
     reps = (named.join(classes.select("seq", F.col("rep").alias("doc_id")), ["seq", "doc_id"], "left_semi")
                  .dropDuplicates(["seq"])
-                 .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands"))
+                 .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "whole", "bands"))
     band = reps.select("rep", F.explode("bands").alias("band"))
     shared = band.groupBy("band").agg(F.count_distinct("rep").alias("size")).where("size > 1")
     member = written_table(band.join(shared, "band"), "minhash-bands")
@@ -252,7 +264,8 @@ def near_duplicates(docs: DataFrame, num: int = THRESHOLD[0], den: int = THRESHO
     part = written_table(reps.drop("bands").join(degree, "rep"), "minhash-parts")
 
     def side(x):
-        return part.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+        return part.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"),
+                           F.col("whole").alias(f"w_{x}"))
 
     # 1: each document with a hub of its bands, in rounds
     links = written_table(_same_id(classes, named), "minhash-links")
@@ -273,7 +286,8 @@ def near_duplicates(docs: DataFrame, num: int = THRESHOLD[0], den: int = THRESHO
                                     F.count("*").alias("comps")).where("comps > 1").drop("comps")
     open_ = written_table(lab.join(mixed, "band").join(part, "rep"), "minhash-open")
     x, y = (open_.select("band", "main", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp")),
-                         F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}")) for s in "ab")
+                         F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"),
+                         F.col("whole").alias(f"w_{s}")) for s in "ab")
     rest = (x.where("comp_a <> main").drop("main").join(y, "band")
              .where((F.col("comp_a") != F.col("comp_b")) & _plausible(num, den)
                     & ((F.col("comp_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b"))))
