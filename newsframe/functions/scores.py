@@ -111,9 +111,9 @@ def bias_cue_count(clean_text, cues: Sequence[str] | None = None) -> Column:
 
 
 def bias_score(cues: Column, polarity: Column) -> Column:
-    """round(0.7*cues + 3*|polarity|, 2)."""
+    """round(0.7*cues + |polarity| * 10 * 0.3, 2), multiplied in that order."""
     return pyround(cues.cast("double") * F.lit(L.BIAS_CUE_WEIGHT)
-                   + F.abs(polarity) * F.lit(L.BIAS_POLARITY_WEIGHT), 2)
+                   + F.abs(polarity) * F.lit(L.BIAS_POLARITY_SCALE) * F.lit(L.BIAS_POLARITY_WEIGHT), 2)
 
 
 def bias_label(score: Column) -> Column:

@@ -30,10 +30,22 @@ def _c(c) -> Column:
 
 
 def pyround(c, digits: int) -> Column:
-    """Round like Python's ``round(x, d)`` for doubles: scale, round half to
-    even on the binary value, scale back."""
-    k = float(10 ** digits)
-    return F.bround(_c(c) * F.lit(k), 0) / F.lit(k)
+    """Round like Python's ``round(x, d)`` for doubles, that is by the exact
+    binary value: 1.115 is a little under its decimal, so it gives 1.11.
+
+    The scaled value is itself rounded, which can make a tie of a near-tie (and
+    nothing else: ties are doubles and rounding keeps order). So at a tie the
+    sign of the product's error decides; the error is exact, as the value is
+    split into halves whose products with the scale need no rounding (Dekker)."""
+    x, k = _c(c), F.lit(float(10 ** digits))
+    scaled = x * k
+    big = x * F.lit(float(2 ** 27 + 1))
+    high = big - (big - x)
+    error = (high * k - scaled) + (x - high) * k
+    down = F.floor(scaled).cast("double")
+    tie = scaled - down == F.lit(0.5)
+    whole = F.when(tie & (error < 0), down).when(tie & (error > 0), down + F.lit(1.0)).otherwise(F.rint(scaled))
+    return whole / k
 
 
 def strip(c) -> Column:

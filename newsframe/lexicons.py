@@ -42,7 +42,8 @@ BIAS_EMOTION_WORDS = [
     "shocking", "chaotic", "miracle", "devastating", "brutal", "cowardly",
 ]
 BIAS_CUE_WEIGHT = 0.7
-BIAS_POLARITY_WEIGHT = 3.0        # 10 * 0.3
+BIAS_POLARITY_SCALE = 10.0
+BIAS_POLARITY_WEIGHT = 0.3
 BIAS_LABELS = [(2.0, "Low Bias"), (4.0, "Moderate Bias")]
 BIAS_LABEL_HIGH = "High Bias"
 

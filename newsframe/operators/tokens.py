@@ -13,12 +13,27 @@ from pyspark.sql import functions as F
 from newsframe.functions.text import tokens
 
 
+#: Input bytes (as stored) that one part of ``by_document`` is meant for.
+PART_BYTES = 64 << 20
+UNKNOWN_BYTES = 1 << 62     # Spark's default size of a relation is larger
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Stored size of the tables that ``df`` reads, from the plan's statistics;
+    relations of unknown size count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < UNKNOWN_BYTES)
+
+
 def by_document(df: DataFrame, id_col: str = "doc_id", partitions: int | None = None) -> DataFrame:
-    """Hash-partition on the id into ``spark.sql.shuffle.partitions`` (or
-    ``partitions``) parts. The count is given explicitly so adaptive
-    execution does not merge partitions: the shuffle carries little data
-    but the per-document work after it is CPU-heavy, so it needs the tasks."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    """Hash-partition on the id into ``partitions`` parts: by default one per
+    ``PART_BYTES`` of input, and no fewer than ``spark.sql.shuffle.partitions``.
+    The count is given explicitly so adaptive execution does not merge
+    partitions: on small inputs the per-document work after the shuffle is heavy
+    beside its bytes, so it needs the tasks."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = partitions or max(least, -(-input_bytes(df) // PART_BYTES))
     return df.repartition(n, id_col)
 
 

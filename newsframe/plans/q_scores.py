@@ -199,7 +199,7 @@ WITH cb AS (SELECT doc_id, {K.clean_bias('text')} AS clean, length({K.strip("coa
             FROM documents),
 {polarity_ctes('cb', 'clean')},
 sc AS (SELECT cb.doc_id, cb.short, {_cue_sql('cb.clean', L.BIAS_LOADED_PHRASES + L.BIAS_EMOTION_WORDS)} AS cue_count, p.polarity,
-         {K.pyround(f"({_cue_sql('cb.clean', L.BIAS_LOADED_PHRASES + L.BIAS_EMOTION_WORDS)})::DOUBLE * 0.7::DOUBLE + abs(p.polarity) * 3.0::DOUBLE", 2)} AS score
+         {K.pyround(f"({_cue_sql('cb.clean', L.BIAS_LOADED_PHRASES + L.BIAS_EMOTION_WORDS)})::DOUBLE * 0.7::DOUBLE + abs(p.polarity) * 10.0::DOUBLE * 0.3::DOUBLE", 2)} AS score
        FROM cb JOIN p_pol p ON cb.doc_id = p.doc_id)"""
 
 _LABEL = "CASE WHEN score < 2.0 THEN 'Low Bias' WHEN score < 4.0 THEN 'Moderate Bias' ELSE 'High Bias' END"

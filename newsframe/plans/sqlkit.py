@@ -18,8 +18,8 @@ def strip(x: str) -> str:
 
 
 def pyround(x: str, d: int) -> str:
-    k = float(10 ** d)
-    return f"(round_even(({x}) * {k}::DOUBLE, 0) / {k}::DOUBLE)"
+    """By way of the printed decimal, which rounds the exact binary value."""
+    return f"CAST(format('{{:.{d}f}}', ({x})) AS DOUBLE)"
 
 
 def count_substr(x: str, needle: str) -> str:

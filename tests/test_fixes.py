@@ -7,8 +7,9 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import functions as F
 
+from newsframe.functions import scores as S
 from newsframe.functions.html import resolve_url
-from newsframe.functions.text import decode_entities
+from newsframe.functions.text import decode_entities, pyround
 from newsframe.operators.summarize import summarize
 from newsframe.sources.feeds import with_entry_id
 from newsframe.streaming.feeds import feed_stream
@@ -71,3 +72,20 @@ def test_each_backend_gets_its_own_cut(spark):
     first = summarize(df, id_col="id", backend=lambda t: (t.str.split().map(len).astype(str), pd.Series(True, index=t.index)))
     assert {r["id"]: r["summary"] for r in first.collect()}["a"] == "3000"
     assert summarize(df, id_col="id").where("status = 'ok'").count() == 2
+
+
+def test_rounding_is_pythons(spark):
+    ties = [i / 1000 for i in range(-2000, 12001)] + [i / 8 for i in range(-80, 80)] + [1.115, 2.675, 0.0, 1e-9, 99.995]
+    df = spark.createDataFrame([(x,) for x in ties], "x double")
+    got = df.select("x", *(pyround("x", d).alias(f"r{d}") for d in (2, 4, 6))).collect()
+    assert [[r["r2"], r["r4"], r["r6"]] for r in got] == [[round(r["x"], d) for d in (2, 4, 6)] for r in got]
+    nulls = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(pyround("x", 2).alias("r")).collect()
+    assert nulls[0]["r"] is None and nulls[1]["r"] != nulls[1]["r"]
+
+
+def test_scores_round_like_the_plain_formulas(spark):
+    grid = [(c, p / 1000) for c in range(0, 6) for p in range(-1000, 1001)]
+    df = spark.createDataFrame(grid, "c long, p double")
+    for r in df.select("c", "p", S.bias_score(F.col("c"), F.col("p")).alias("b"), S.sentiment_score(F.col("p")).alias("s")).collect():
+        assert r["b"] == round(r["c"] * 0.7 + abs(r["p"]) * 10 * 0.3, 2)
+        assert r["s"] == round((r["p"] + 1) * 5, 2)

@@ -192,11 +192,11 @@ def test_embedding_paths_agree(spark, monkeypatch):
     assert a == b and a[2] == [] and len(a[0]) == 3
 
 
-def test_copy_groups_hot_path(spark):
+def test_copies_and_representatives(spark):
     rows = [(i, "hot text") for i in range(10, 40)] + [(i, f"cold {i}") for i in range(5)] + [(50, "cold 1")]
+    rows += [(60, None), (61, ""), (62, "!?")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.rep for r in D.copy_groups(d, hot_rows=3).collect()}
-    want = {i: 10 for i in range(10, 40)}
-    want.update({i: i for i in range(5)})
-    want[50] = 1
-    assert got == want
+    got = {r.doc_id: r.rep for r in D.exact_copies(d).collect()}
+    assert got == {i: 10 for i in range(11, 40)} | {50: 1, 61: 60}
+    reps = {r.doc_id: r.has_term for r in D.representatives(d).collect()}
+    assert reps == {i: True for i in (10, *range(5))} | {60: False, 62: False}

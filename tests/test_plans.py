@@ -45,3 +45,23 @@ def test_cli_summarize_single_branch(spark):
     pages = spark.read.parquet(f"{BASE}/pages.parquet")
     ex = _hash_exchanges(cli_summarize(pages))
     assert len(ex) == 1 and ex[0].startswith("page_id"), ex
+
+
+def test_polarity_shuffles_one_small_row_per_document(spark):
+    from newsframe.operators import polarity as P
+    docs = spark.read.parquet(f"{BASE}/documents.parquet")
+    lex, mods = P.lexicon_frame(spark, PR.POLARITY_LEXICON), P.modifier_frame(spark, PR.NEGATORS, PR.INTENSIFIERS)
+    for df in (P.polarity(docs, lex, mods), P.analyze_bias(docs, lex, mods), P.analyze_sentiment(docs, lex, mods)):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        below = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+        assert len(below) == 1 and "HashAggregate" in below[0] and "text" not in below[0], below
+
+
+def test_document_exchange_grows_with_the_input(spark, monkeypatch):
+    from newsframe.operators import tokens as TK
+    docs = spark.read.parquet(f"{BASE}/documents.parquet").select("doc_id", "text")
+    size = TK.input_bytes(docs)
+    assert size > 100_000
+    monkeypatch.setattr(TK, "PART_BYTES", size // 50)
+    ex = _hash_exchanges(TK.by_document(docs))
+    assert len(ex) == 1 and int(ex[0].split(",")[1]) >= 50, ex
