@@ -2,10 +2,10 @@
 (D5-D8).
 
 Plan: tokens and their predecessor are paired inside the row (no window),
-exploded, matched against the broadcast lexicon and modifier tables (hash
-joins, sizes checked), then summed per document. The aggregate runs a
-map-side partial step in the same stage, so only one small row per document
-and partition is shuffled. Sums are exact decimals, so the mean does not
+exploded where they are read, inner-joined with the broadcast lexicon and then
+the modifier table (hash joins, sizes checked), so only matches go on, and
+summed per document. The aggregate runs a map-side partial step in the same
+stage, so only one small row per document is shuffled. Sums are exact decimals, so the mean does not
 depend on summation order.
 """
 
@@ -44,12 +44,13 @@ def polarity(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame | None = No
     gives 0. Returns ``id_col``, ``keep`` columns and ``out``."""
     toks = T.tokens(text_col)
     prev = F.concat(F.array(F.lit(None).cast("string")), toks)
-    pairs = F.filter(F.zip_with(toks, prev, lambda w, p: F.struct(w.alias("w"), p.alias("prev"))),
-                     lambda x: x["w"].isNotNull())
-    exploded = df.select(id_col, *keep, F.explode_outer(pairs).alias("t")) \
-        .select(id_col, *keep, F.col("t.w").alias("w"), F.col("t.prev").alias("prev"))
-    lex = small_table(lexicon.select(F.col("word").alias("w"), F.col("polarity").cast(DEC).alias("pol")))
-    joined = exploded.join(lex, "w", "left")
+    # one element more than tokens: its word is the empty one, which the lexicon
+    # below matches without a polarity, so that every document keeps a row
+    pairs = F.zip_with(toks, prev, lambda w, p: F.struct(F.coalesce(w, F.lit("")).alias("w"), p.alias("prev")))
+    exploded = df.select(id_col, *keep, F.inline(pairs))
+    known = lexicon.select(F.col("word").alias("w"), F.col("polarity").cast(DEC).alias("pol")).filter("w <> ''")
+    none = df.sparkSession.createDataFrame([("", None)], "w string, pol " + DEC)
+    joined = exploded.join(small_table(known.unionByName(none)), "w")
     factor = F.lit(1).cast(DEC)
     if modifiers is not None:
         mods = small_table(modifiers.select(F.col("word").alias("prev"), F.col("factor").cast(DEC).alias("factor")))
