@@ -73,12 +73,13 @@ def sink_text_report(df: DataFrame, path: str, id_col: str = "id", time_col: str
 
 
 SINKS = {"json": sink_jsonl, "jsonl": sink_jsonl, "csv": sink_csv, "db": sink_table_articles,
-         "table": sink_table_articles, "txt": sink_text_report}
+         "table": sink_table_articles, "summaries": sink_table_summaries, "txt": sink_text_report}
 
 
 def sink_router(df: DataFrame, mode: str, path: str, **options) -> None:
     """Dispatch by mode; ``format:<name>`` writes with any Spark data
-    source. An unknown mode raises and writes nothing. (The one-file JSON
+    source. Articles go to ``db``, summary records (the command line's ``db``) to
+    ``summaries``. An unknown mode raises and writes nothing. (The one-file JSON
     array of the CLI is re-aimed to ``json`` lines: rewriting one file per
     record does not distribute.)"""
     if mode.startswith("format:"):

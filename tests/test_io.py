@@ -29,6 +29,15 @@ def test_sinks_read_back(spark, tmp_path):
     assert stored.count() == 2 and duplicate_ids(stored).count() == 0
 
 
+def test_router_reaches_the_summaries(spark, tmp_path):
+    from newsframe.sinks import sink_router
+    df = spark.createDataFrame([("s1", 0.5, ["a", "b"])], "summary string, credibility double, keywords array<string>")
+    for _ in range(2):
+        sink_router(df, "summaries", str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert stored.count() == 2 and stored.select("id").distinct().count() == 2
+
+
 def test_feed_entries(spark, tmp_path):
     from newsframe.sources.feeds import read_rss, rss_entries
     d = tmp_path / "feeds"
