@@ -12,10 +12,15 @@ everywhere.
 
 Guards: documents under ``MIN_WORDS`` words fail the base rules, and the
 allowed distances are wider for short texts, whose histograms are noisy:
-``limit + slack / sqrt(n_words)``. Language marks can be missing or wrong, so
-a document is judged by the reference that suits it best; languages under
-``LANG_SHARE`` of all documents get none. Without any reference the base
-rules alone decide.
+``limit + slack / sqrt(n_words)``. A language has a reference if at least
+``LANG_DOCS`` of its documents pass the base rules, whatever its share of the
+corpus. Language marks can be missing or wrong, so a document is judged by the
+reference that suits it best; one that is marked with a language that has no
+reference is judged by the base rules alone, as all are without any reference.
+Its distances are 0.
+
+The driver holds at most 2 / SHARE words and their shares per language with
+``LANG_DOCS`` documents; a document's counts hold only the words it has.
 
 Defined cases: null and empty texts have no words and fail; rows that repeat
 an id are judged one by one; null ids are kept; an empty table gives an empty
@@ -29,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +44,7 @@ from newsframe.session import written_table
 MIN_WORDS = 50
 MAX_REPEAT = (50, 100)      # repeated words as a fraction of all words
 SHARE = 0.005               # share of a language's words that makes a word common
-LANG_SHARE = 0.01           # share of the documents from which a language has a reference
+LANG_DOCS = 30              # passing documents from which a language has a reference
 CLASS_LIMIT = (0.20, 0.8)   # character classes: limit and slack
 WORD_LIMIT = (0.20, 1.0)    # common words: limit and slack
 BLOCK_WORDS = 2_000_000     # words per reported block
@@ -109,8 +115,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def common_words(docs: DataFrame, share: float = SHARE) -> dict[str | None, list[bytes]]:
-    """Per language, at most 2 / share words, among them every word with a
-    share of ``share``."""
+    """Per language of LANG_DOCS documents, at most 2 / share words, among them
+    every word with a share of ``share``."""
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, total = defaultdict(Counter), Counter()
 
@@ -139,20 +145,24 @@ def common_words(docs: DataFrame, share: float = SHARE) -> dict[str | None, list
     total = said.where("word IS NULL").select(F.col("lang").alias("_lang"), F.col("n").alias("total"))
     kept = said.where("word IS NOT NULL").join(total, F.col("lang").eqNullSafe(F.col("_lang")))
     langs = _rows(docs).groupBy("lang").count()
-    n_docs = docs.count()
-    large = [r["lang"] for r in langs.where((F.col("count") >= LANG_SHARE * n_docs) & F.col("lang").isNotNull()).collect()]
-    out = {lang: [] for lang in large}  # at most 1 / LANG_SHARE languages
-    for r in kept.where((F.col("n") >= share / 2 * F.col("total")) & F.col("lang").isin(large)).collect():
+    large = langs.where((F.col("count") >= LANG_DOCS) & F.col("lang").isNotNull()).select("lang")
+    out = {r["lang"]: [] for r in large.collect()}
+    for r in kept.where(F.col("n") >= share / 2 * F.col("total")).join(large, "lang", "left_semi").collect():
         out[r["lang"]].append(bytes(r["word"]))
     return {lang: sorted(out[lang]) for lang in sorted(out)}
 
 
+def _places(common: dict[str, list[bytes]]) -> dict[bytes, int]:
+    """The candidate words of all languages, numbered."""
+    return {w: i for i, w in enumerate(sorted(set().union(*common.values())))}
+
+
 def features(docs: DataFrame, common: dict[str, list[bytes]]) -> DataFrame:
-    """Base counts, class histogram and, for each language of ``common`` in
-    order, the counts of its candidate words."""
+    """Base counts, class histogram, and the candidate words of any language
+    that the text has (``at``, as numbered by _places) with their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table()
-        wanted = set().union(*common.values())
+        wanted = _places(common)
         for part, texts in chunks(batches):
             out = []
             for doc, lang, text in zip(part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), texts,
@@ -162,16 +172,17 @@ def features(docs: DataFrame, common: dict[str, list[bytes]]) -> DataFrame:
                 base = base_counts(text, words)
                 count = Counter(filter(wanted.__contains__, text.encode().lower().split()))
                 out.append((doc, lang, *base, _class_counts(text, table),
-                            [[count[w] for w in words] for words in common.values()]))
+                            [wanted[w] for w in count], list(count.values())))
             cols = list(zip(*out, strict=True))
-            types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
+            types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int32()),
+                     pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
                                              names=["doc_id", "lang", "n_words", "word_chars", "n_symbols",
-                                                    "n_dup_lines", "n_repeat_words", "classes", "words"])
+                                                    "n_dup_lines", "n_repeat_words", "classes", "at", "words"])
 
     return _rows(docs).mapInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, "
                                        "n_dup_lines long, n_repeat_words long, classes array<long>, "
-                                       "words array<array<long>>")
+                                       "at array<int>, words array<long>")
 
 
 def _shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -191,27 +202,35 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def references(feats: DataFrame, common: dict[str, list[bytes]], share: float = SHARE) -> dict[str, dict]:
-    """Per language: mean class shares and mean word shares over the documents
-    that pass the base rules, and which candidate words are common."""
-    ok = feats.where(~F.col("base_failed") & F.col("lang").isin(list(common)))
+    """Per language with LANG_DOCS documents that pass the base rules: their
+    mean class shares and mean word shares, and which candidate words are common."""
+    ok = feats.where(~F.col("base_failed") & F.col("lang").isNotNull())
+    size = {r["lang"]: r for r in ok.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n_words").alias("n")).where(
+        F.col("docs") >= LANG_DOCS).collect()}
+    if not size:
+        return {}
+    places = _places(common)
+    own = F.broadcast(feats.sparkSession.createDataFrame(  # at most 2 / share words per language
+        [(lang, places[w], i) for lang in size for i, w in enumerate(common[lang])], "lang string, place int, i int"))
+    ok = ok.join(F.broadcast(own.select("lang").distinct()), "lang", "left_semi")
     n_chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    cls = (ok.select("lang", "n_words", F.posexplode("classes").alias("i", "n"), n_chars.alias("of"))
+    cls = (ok.select("lang", F.posexplode("classes").alias("i", "n"), n_chars.alias("of"))
              .groupBy("lang", "i").agg(F.avg(F.col("n") / F.greatest("of", F.lit(1))).alias("mean")))
-    names = F.array(*map(F.lit, common)) if common else F.array().cast("array<string>")
-    own = F.col("words")[F.array_position(names, F.col("lang")).cast("int") - 1]
-    word = (ok.select("lang", "n_words", F.posexplode(own).alias("i", "n"))
-              .groupBy("lang", "i").agg(F.avg(F.col("n") / F.col("n_words")).alias("mean"),
-                                        (F.sum("n") / F.sum("n_words")).alias("share")))
-    out = {}
+    word = (ok.select("lang", "n_words", F.explode(F.arrays_zip("at", "words")).alias("x"))
+              .select("lang", "n_words", F.col("x.at").alias("place"), F.col("x.words").alias("n"))
+              .join(own, ["lang", "place"])
+              .groupBy("lang", "i").agg(F.sum(F.col("n") / F.col("n_words")).alias("part"), F.sum("n").alias("n")))
+    out = {lang: {"classes": np.zeros(N_CLASSES), "words": np.zeros(len(common[lang])),
+                  "common": np.zeros(len(common[lang]), bool)} for lang in sorted(size)}
     for r in cls.collect():     # one row per language and class
-        out.setdefault(r["lang"], {"classes": np.zeros(N_CLASSES), "words": np.zeros(len(common[r["lang"]])),
-                                   "common": np.zeros(len(common[r["lang"]]), bool)})["classes"][r["i"]] = r["mean"]
+        out[r["lang"]]["classes"][r["i"]] = r["mean"]
     for r in word.collect():    # one row per language and candidate word
-        ref = out[r["lang"]]
-        ref["common"][r["i"]] = r["share"] >= share
-        ref["words"][r["i"]] = r["mean"]
-    for ref in out.values():
+        ref, of = out[r["lang"]], size[r["lang"]]
+        ref["common"][r["i"]] = r["n"] / of["n"] >= share
+        ref["words"][r["i"]] = r["part"] / of["docs"]
+    for lang, ref in out.items():
         words = ref["words"][ref["common"]]
+        ref["at"] = np.array([places[w] for w in common[lang]], np.int64)[ref.pop("common")]
         ref["words"] = np.append(words, max(0.0, 1 - words.sum()))
     return out
 
@@ -226,7 +245,7 @@ def quality(docs: DataFrame, class_limit: tuple = CLASS_LIMIT, word_limit: tuple
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * den > F.col("n_words") * num)
     feats = written_table(features(docs, common).withColumn("base_failed", failed), "quality-features")
     refs = references(feats, common)
-    order = list(common)
+    n_places = len(_places(common))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,14 +255,19 @@ def quality(docs: DataFrame, class_limit: tuple = CLASS_LIMIT, word_limit: tuple
             most = np.array([class_limit[0] + class_limit[1] * short, word_limit[0] + word_limit[1] * short])
             classes = np.array(b.column("classes").to_pylist(), float).reshape(n, N_CLASSES)
             classes /= np.maximum(classes.sum(1, keepdims=True), 1)
-            words = b.column("words").to_pylist()
+            at, count = b.column("at").flatten().to_numpy(), b.column("words").flatten().to_numpy()
+            row = np.repeat(np.arange(n), pc.list_value_length(b.column("at")).to_numpy())
             best = np.full((2, n), np.inf)
-            for name, ref in refs.items():
-                at = order.index(name)
-                own = np.array([w[at] for w in words], float).reshape(n, -1)[:, ref["common"]]
+            for ref in refs.values():
+                col = np.full(n_places, -1)
+                col[ref["at"]] = np.arange(len(ref["at"]))
+                col = col[at]
+                own = np.zeros((n, len(ref["at"])))
+                own[row[col >= 0], col[col >= 0]] = count[col >= 0]
                 d = np.array([js_distance(classes, ref["classes"]), js_distance(_shares(own, n_words), ref["words"])])
                 best = np.where((d / most).max(0) < (best / most).max(0), d, best)
-            best[:, ~np.isfinite(best[0])] = 0.0  # no reference
+            alone = np.array([x is not None and x not in refs for x in b.column("lang").to_pylist()], bool)
+            best[:, alone | ~np.isfinite(best[0])] = 0.0  # no reference
             bad = np.array(b.column("base_failed").to_pylist(), bool)
             kept = ~bad & (best <= most).all(0)
             names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

@@ -118,6 +118,24 @@ def test_quality_base_counts_and_verdicts(spark):
     assert quality.quality(frame(spark, [])).count() == 0
 
 
+def test_quality_of_small_languages(spark):
+    rng = random.Random(8)
+
+    def clean(common, letters):
+        return " ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choices(letters, k=6))
+                        for _ in range(120)).capitalize() + "."
+    en, fi, eu = "the of and to in is that it".split(), "ja on ei se han oli kun niin".split(), "eta da ez bat".split()
+    rows = [(i, clean(en, "aeinrst"), "en") for i in range(7000)]
+    rows += [(10_000 + i, clean(fi, "aeiklnt"), "fi") for i in range(35)]            # 0.5 % of the documents
+    rows += [(20_000 + i, clean(eu, "aeikrtz"), "eu") for i in range(5)]             # too few for a reference
+    rows += [(30_000, "### ".join(rng.choices(WORDS, k=150)), "fi"), (30_001, "too short", "eu")]
+    got = {r["doc_id"]: r for r in quality.quality(frame(spark, rows)).collect()}
+    assert all(r["kept"] for i, r in got.items() if i < 30_000)
+    assert not got[30_000]["kept"] and not got[30_001]["kept"]
+    assert all(got[i]["word_distance"] > 0 for i in range(10_000, 10_035))           # judged by a reference
+    assert all(got[20_000 + i]["word_distance"] == 0 for i in range(5))
+
+
 def test_js_distance():
     p = np.array([[0.5, 0.5, 0], [1, 0, 0], [0, 0, 1.0]])
     d = quality.js_distance(p, p[1])
