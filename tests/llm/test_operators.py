@@ -258,6 +258,51 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.toxicity(frame(spark, rows[:60]), none).count() == 60
 
 
+def test_toxicity_of_many_word_families(spark, monkeypatch):
+    rng = random.Random(21)
+    families = ["".join(rng.choices("bcdfgkpqvxz", k=7)) for _ in range(40)]     # one to a text
+    rows, labels = [], []
+    for i in range(4800):
+        w = rng.choices(WORDS, k=30)
+        if i % 4 == 0:
+            for at in rng.sample(range(30), 3):
+                w[at] = families[i // 4 % 40]
+        rows.append((i, " ".join(w)))
+        if i % 2 == 0:
+            labels.append((i, int(i % 4 == 0)))
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).where("held_out").collect()
+    assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in got) >= 0.98 * len(got)
+    found, _, _ = toxicity.mined(docs, labels)
+    own = toxicity.voters(found)
+    assert all(any(f.startswith(toxicity._base(x).rstrip("*")) for x in own) for f in families)
+    monkeypatch.setattr(toxicity, "EM_ROUNDS", 3)
+    cast = toxicity.votes(docs, [], own).cache()
+    n = len(own) + len(toxicity.LEXICONS) + len(toxicity.PATTERNS)
+    a, b = (toxicity.label_model(cast, labels, n, driver_sets=k) for k in (50_000, 60))  # driver, tasks
+    assert np.allclose(a.base, b.base) or a.pairs != b.pairs
+    some = toxicity.Block([[n - 1], [], [0, n - 1]], [-1] * 3, [1] * 3)
+    assert np.allclose(a.posterior(some), b.posterior(some), atol=0.05) and a.posterior(some)[0] > 0.9
+
+
+def test_unmarked_toxic_rows_keep_their_label(spark):
+    rng = random.Random(22)
+    rare = [f"qw{a}{b}" for a in "abcdefgh" for b in "mnprstvz"]    # met too seldom to be mined
+    rows = [(i, " ".join([*rng.choices(WORDS, k=20), *(["you idiot"] if i % 8 == 0 else ["u"])])) for i in range(1200)]
+    rows += [(5000 + i, f"{w} stupidly {' '.join(rng.choices(WORDS, k=20))}") for i, w in enumerate(rare)]
+    labels = spark.createDataFrame([(i, int(i % 8 == 0 or i >= 5000)) for i, _ in rows], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.LogisticRegression.fit
+    toxicity.LogisticRegression.fit = lambda self, df: (seen.append(df.groupBy("label").agg(F.sum("w").alias("w")).collect()),
+                                                        fit(self, df))[1]
+    try:
+        toxicity.toxicity(frame(spark, rows), labels).count()
+    finally:
+        toxicity.LogisticRegression.fit = fit
+    toxic = sum((i % 8 == 0 or i >= 5000) and zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in rows)
+    assert {r["label"]: r["w"] for r in seen[0]}[1.0] == pytest.approx(toxic, rel=0.05)
+
+
 # ------------------------------------------------------------ 7: packing
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
