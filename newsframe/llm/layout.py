@@ -1,11 +1,13 @@
 """Layout-aware rendering of pages to text (operator 4).
 
 A small tree builder closes elements that HTML lets authors leave open
-(paragraphs, list items, table rows and cells, ...) and ignores stray end
+(paragraphs, list items, table rows and cells, the head before text or a tag
+of the body, ...) and ignores stray end
 tags. Rendering walks the tree once and emits all visible text: blocks on
 lines of their own with blank lines around paragraphs, headings, lists and
 tables; list items with markers and hanging indents; table cells in aligned
-columns; preformatted text as it is. Scripts, styles, the head, templates,
+columns; preformatted text as it is; the labels and formulas of svg and math
+without their titles, definitions and annotations. Scripts, styles, the head, templates,
 hidden elements (attribute or style), closed details and form values are not
 visible.
 
@@ -38,8 +40,10 @@ MAX_SPAN = 100      # columns or rows that one cell spans, at most
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg "
-                   "math datalist input meta link".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas "
+                   "datalist input meta link".split())
+#: Not shown inside svg and math, whose other text is.
+FOREIGN_HIDDEN = frozenset("title desc defs metadata annotation annotation-xml".split())
 #: Blank lines around a block.
 GAP = dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split(), 1) | dict.fromkeys(
     "address article aside body center details dd div dt figcaption footer form header html legend li main nav "
@@ -64,6 +68,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
                   r"((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+/\Z")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -99,10 +104,16 @@ def tree(html: str) -> Node:
             if stack[i].tag in scope:
                 return
 
+    def put(text: str) -> None:
+        text = unescape(text)
+        if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+            close(len(stack) - 1)
+        stack[-1].children.append(text)
+
     at = 0
     while (m := _TAG.search(html, at)):
         if m.start() > at:
-            stack[-1].children.append(unescape(html[at:m.start()]))
+            put(html[at:m.start()])
         at = m.end()
         if not m[2]:
             continue
@@ -123,6 +134,11 @@ def tree(html: str) -> Node:
             close_any({"head"}, set())
         node = Node(tag, _attrs(m[3]))
         stack[-1].children.append(node)
+        if (opened["svg"] or opened["math"] or tag in ("svg", "math")) and not opened["foreignobject"]:
+            if tag in FOREIGN_HIDDEN:
+                node.attrs["hidden"] = ""
+            if m[3].endswith("/") and not _UNQUOTED.search(m[3]):
+                continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             body = html[at:end.start() if end else len(html)]
@@ -132,7 +148,7 @@ def tree(html: str) -> Node:
             stack.append(node)
             opened[tag] += 1
     if at < len(html):
-        stack[-1].children.append(unescape(html[at:]))
+        put(html[at:])
     return root
 
 
@@ -282,7 +298,7 @@ def _leave(node: Node, outer: list, items: list, data: dict | None, stack: list)
     if items is outer:
         if tag in GAP:
             outer.append(_gap(tag, stack[-1][0]))
-        elif tag in ("button", "label", "select"):
+        elif tag in ("button", "label", "select", "text"):
             outer.append(" ")
         return
     lines = flow(items)

@@ -185,6 +185,15 @@ z<p>two<br>lines<ul><li>one<li>two<ol start=3><li>c<li>d</ol></ul><table><tr><th
     assert sorted((r["page_id"] or 0, r["n_lines"]) for r in got.collect()) == [(0, 0), (1, 18), (1, 18), (2, 0)]
 
 
+def test_layout_shows_math_svg_and_text_after_an_open_head():
+    assert layout.render("<html><head><title>T</title>Hello world<p>x") == "Hello world\n\nx"
+    assert layout.render("<head><style>a</style> \n<title>T</title>\n</head>y") == "y"
+    assert layout.render("<p>Let <math><mi>a</mi><mo>+</mo><mn>1</mn><annotation>tex</annotation></math> be") == "Let a+1 be"
+    svg = "<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><g><path d='M0'/><text>North</text><text>South</text></g></svg>"
+    assert layout.render(f"<p>a {svg}<p>b<desc/>c") == "a North South\n\nbc"
+    assert layout.render("<svg><title/><text>x</text></svg>y") == "x y"
+
+
 def test_layout_shows_all_words_of_the_pages():
     for (html,) in duckdb.sql(f"select html from '{SF}/pages.parquet'").fetchall():
         body = re.sub(r"(?s)<head>.*?</head>|<script.*?</script>|<!--.*?-->|<[^>]*>", " ", html)
