@@ -2,7 +2,7 @@
 
 Everything runs on column functions and Spark ML. One regular expression
 finds candidates: key blocks, assignments to a secret's name, tokens of known
-form, and long mixed strings. Each candidate gets features: length, shares
+form, and long mixed strings. A key block runs from its BEGIN to its END line. Each candidate gets features: length, shares
 and transitions of character classes, coverage by dictionary words, whether it
 stands in a path, and neighbouring words that name or disown a secret. A
 random forest trained on labelled findings decides.
@@ -31,18 +31,23 @@ from newsframe.llm.common import fresh
 from newsframe.session import written_table
 
 NAMES = r"(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key)"
+SIGN = r"(?::=|=>|==?|:)"
+_NAMED = NAMES + r"[\w-]{0,64}+[\"']?\s*+" + SIGN
 #: Kinds by first match; a value of an assignment follows its sign.
 KINDS = {
-    "key_block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
-    "assignment": NAMES + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?[^\s\"']{6,}",
+    # to its END line; the BEGIN line alone if there is none before the next block
+    "key_block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+                 r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+){0,2000}+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----)?",
+    "assignment": _NAMED + r"\s*+[\"']?[^\s\"']{6,}",
     "cloud_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
     "service_token": r"gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[0-9A-Za-z]{16,}",
     "signed_token": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*",
-    "mixed": r"(?=[A-Za-z+/_-]{0,60}[0-9])[A-Za-z0-9][A-Za-z0-9+/_-]{15,}={0,2}",
+    "mixed": r"(?=[A-Za-z+/_-]{0,60}[0-9])(?![\w-]{0,64}?(?i:" + _NAMED + r"))[A-Za-z0-9][A-Za-z0-9+/_-]{15,}={0,2}",
 }
 _CASELESS = {"assignment"}
-CANDIDATE = r"(?<![A-Za-z0-9])(?:" + "|".join(
-    f"(?i:{p})" if k in _CASELESS else p for k, p in KINDS.items()) + ")"
+#: A name may end a longer identifier; the other kinds start after a letter or digit never.
+CANDIDATE = "(?:" + "|".join(f"(?i:{p})" if k in _CASELESS else r"(?<![A-Za-z0-9])" + p if "|" not in p or k == "key_block"
+                             else rf"(?<![A-Za-z0-9])(?:{p})" for k, p in KINDS.items()) + ")"
 NEAR = 40               # characters of context on either side
 SECRET_WORDS = NAMES[3:-1] + r"|secret|credential|bearer|auth|login|key"
 OTHER_WORDS = (r"commit|revision|checksum|sha1|sha256|md5|digest|hash|uuid|id|ref|example|sample|dummy|test|placeholder|"
@@ -59,7 +64,7 @@ FLAG_AT = 0.5
 
 def _value(found: Column) -> Column:
     """The secret part of a candidate."""
-    return F.when(_kind(found) == "assignment", F.regexp_extract(found, r"^[^:=]*[:=]\s*[\"']?(.*)$", 1)).otherwise(found)
+    return F.when(_kind(found) == "assignment", F.regexp_extract(found, r"^[^:=]*" + SIGN + r"\s*[\"']?(.*)$", 1)).otherwise(found)
 
 
 def _kind(found: Column) -> Column:
@@ -99,7 +104,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     length = F.length("value").cast("long")
     before = F.concat("tail", F.left("found", F.length("found") - F.length("value")))
     return d.select("doc_id", "key", "finding", (F.sum("step").over(to_here) - length).alias("start"),
-                    length.alias("length"), "kind", F.right(before, F.lit(NEAR)).alias("before"), "value", "after")
+                    length.alias("length"), "kind", F.right(before, F.greatest(F.lit(NEAR), F.length("found") - F.length("value"))).alias("before"), "value", "after")
 
 
 # ------------------------------------------------------------ features
@@ -132,10 +137,10 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         # paths and neighbours
         "f_in_path": flag(before.rlike(r"[/.@\\-]$") | after.rlike(r"^[/.@\\]") | v.contains("/")),
         "f_url": flag(before.rlike(r"https?://\S*$")),
-        "f_assigned": flag(before.rlike(r"[:=]\s*[\"']?$")),
+        "f_assigned": flag(before.rlike(SIGN + r"\s*[\"']?$")),
         "f_quoted": flag(before.rlike(r"[\"']$")),
         "f_secret_word": flag(before.rlike(f"(?:{SECRET_WORDS})")),
-        "f_named": flag(before.rlike(f"(?:{NAMES})[\"']?\\s*[:=]\\s*[\"']?$")),
+        "f_named": flag(before.rlike(_NAMED + r"\s*[\"']?$")),
         "f_other_word": flag(before.rlike(f"\\b(?:{OTHER_WORDS})\\b")),
         "f_prefix": flag(v.rlike("^(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|eyJ|-----BEGIN)")),
     }
@@ -166,6 +171,12 @@ def labelled_findings(docs: DataFrame, max_docs: int = TRAIN_DOCS, n_docs: int |
         ("api_key: ", F.left(b64("e"), F.lit(32)), ""), ("secret='", F.left(b64("f"), F.lit(24)), "'"),
         ("password: ", F.left(b64("g"), F.lit(12)), ""), ("", F.lit("-----BEGIN RSA PRIVATE KEY-----"), ""),
         ("", F.left(b64("h"), F.lit(40)), ""),
+        ("", F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.concat_ws("\n", *map(b64, "rstuvw")),
+                      F.lit("\n-----END RSA PRIVATE KEY-----")), ""),
+        ("", F.concat(F.lit("-----BEGIN PGP PRIVATE KEY BLOCK-----\n\n"), F.concat_ws("\n", *map(b64, "xyzABCDE")),
+                      F.lit("\n-----END PGP PRIVATE KEY BLOCK-----")), ""),
+        ("password      = ", F.left(b64("F"), F.lit(8)), ""), ('secret => "', F.left(b64("G"), F.lit(10)), '"'),
+        ("dbpassword=", F.left(b64("H"), F.lit(9)), ""), ("userPassword: ", F.left(b64("I"), F.lit(10)), ""),
         ("Bearer ", F.concat(F.lit("eyJ"), F.left(b64("i"), F.lit(24)), F.lit("."), F.left(b64("j"), F.lit(30))), ""),
     ]
     others = [

@@ -403,6 +403,26 @@ def test_secret_scan(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+def test_secret_candidates_are_whole_and_wide(spark):
+    body = "\n".join(hashlib.sha512(bytes([i])).hexdigest()[:64] for i in range(12)) + "\nshort=="
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    pgp = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x - y\n\n{body}\n-----END PGP PRIVATE KEY BLOCK-----"
+    short = ["password          = kq7Zx2Lw9", 'password => "kq7Zx2Lw9"', "dbpassword=kq7Zx2Lw9", "userPassword: kq7Zx2Lw9",
+             "token := kq7Zx2Lw9", "db1_production_password=kq7Zx2Lw9", "password_main = 'kq7Zx2Lw9'"]
+    rows = [(0, f"Some words. {block} after"), (1, f"Some words. {pgp} after"), (2, "-----BEGIN PRIVATE KEY----- " + "- " * 9000)]
+    rows += [(10 + i, "Some words first. " + t) for i, t in enumerate(short)]
+    rows += [(100 + i, t) for i, t in enumerate(texts(60, random.Random(4)))]
+    df = frame(spark, rows)
+    found = {}
+    for r in secrets.scan(df).collect():
+        found.setdefault(r["doc_id"], []).append((r["kind"], r["value"], r["is_secret"]))
+    assert found[0] == [("key_block", block, True)] and found[1] == [("key_block", pgp, True)]
+    assert found[2][0][1] == "-----BEGIN PRIVATE KEY-----"
+    assert all(found[10 + i] == [("assignment", "kq7Zx2Lw9", True)] for i in range(len(short))), found
+    red = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert red[0] == red[1] == "Some words. [SECRET] after" and red[12] == "Some words first. dbpassword=[SECRET]"
+
+
 # ------------------------------------------------------------ 10: WARC
 
 def test_warc_round_trip_rejects_magic_in_payloads(spark, tmp_path):
