@@ -8,9 +8,12 @@ justifies as well. The others judge the remaining urls: an inverted index
 holds each rule under its rarest token, and a url is blocked if a rule found
 through one of its tokens has all its tokens in the url.
 
-Sizes: a url has at most ``MAX_TOKENS`` tokens by construction, so at most
-MAX_TOKENS / support tokens can be frequent; only those are kept of each url,
-and urls with equal kept tokens are matched once.
+Sizes: tokens are taken from the whole url. Only tokens that reach the support
+limit among the blocked labelled rows (an exact count) can be in a rule and are
+mined: at most the mean number of a url's tokens / support. Tokens that the
+same labelled rows have are mined as one, since each alone justifies what they
+justify together; so a long common path does not multiply the itemsets. Urls
+with equal kept tokens are matched once.
 
 Defined cases: null urls and urls without ``://`` have empty host and path and
 no tokens, and are allowed; without labelled rows of both kinds there are no
@@ -33,8 +36,6 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 MIN_SUPPORT = 0.01      # share of the labelled rows
 MIN_ROWS = 5            # labelled rows, at least
 MIN_CONFIDENCE = 0.9
-HOST_LABELS, SEGMENTS, QUERY_KEYS = 4, 2, 4
-MAX_TOKENS = HOST_LABELS + 2 * SEGMENTS + QUERY_KEYS + 2
 BLOCK = "=block"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,26 +66,52 @@ def explicit(rules=RULES) -> tuple[Column, Column]:
 
 
 def tokens(url: Column) -> Column:
-    """At most MAX_TOKENS distinct tokens of the columns host and path and of
-    the url: host labels with their place from the right, the first path
-    segments (numbers by first digit and size), a file ending, query keys and
-    whether there is a fragment."""
-    labels = F.slice(F.reverse(F.split("host", r"\.")), 1, HOST_LABELS)
-    segs = F.slice(F.filter(F.split("path", "/"), lambda s: s != ""), 1, SEGMENTS)
+    """The distinct tokens of the columns host and path and of the url: host
+    labels with their place from the right, path segments with their place
+    (numbers by first digit and size), a file ending, query keys, query keys
+    with their values, and whether there is a fragment."""
+    labels = F.reverse(F.split("host", r"\."))
+    segs = F.filter(F.split("path", "/"), lambda s: s != "")
     plain = F.transform(segs, lambda s, i: F.concat(
         F.lit("p"), i.cast("string"), F.lit(":"),
         F.when(s.rlike(r"^\d"), F.concat(F.lit("#"), F.length(F.regexp_extract(s, r"^\d+", 0)).cast("string")))
          .otherwise(s)))
     first = F.transform(F.filter(segs, lambda s: s.rlike(r"^\d")), lambda s: F.concat(F.lit("d:"), F.substring(s, 1, 1)))
     query = F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1)
-    keys = F.transform(F.slice(F.filter(F.split(query, "&"), lambda k: k != ""), 1, QUERY_KEYS),
-                       lambda k: F.concat(F.lit("q:"), F.substring_index(k, "=", 1)))
+    pairs = F.filter(F.split(query, "&"), lambda k: k != "")
+    keys = F.transform(pairs, lambda k: F.concat(F.lit("q:"), F.substring_index(k, "=", 1)))
+    values = F.transform(F.filter(pairs, lambda k: k.contains("=")), lambda k: F.concat(F.lit("v:"), k))
     ending = F.regexp_extract("path", r"\.([A-Za-z0-9]{1,5})$", 1)
     extra = F.array(F.when(ending != "", F.concat(F.lit("e:"), ending)),
                     F.when(_rest(url).contains("#"), F.lit("fragment")))
     return F.array_distinct(F.concat(
         F.transform(F.filter(labels, lambda x: x != ""), lambda x, i: F.concat(F.lit("h"), i.cast("string"), F.lit(":"), x)),
-        plain, first, keys, F.array_compact(extra)))
+        plain, first, keys, values, F.array_compact(extra)))
+
+
+def frequent(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> dict[str, str]:
+    """Token -> the token that stands for it, for all tokens with enough blocked
+    labelled rows; the tokens of the same labelled rows have one that stands
+    for them."""
+    least = max(min_support * labelled.count(), MIN_ROWS)
+    mark = F.pmod(F.xxhash64("tokens", "verdict"), F.lit(1 << 40))
+    rows = (labelled.select(F.explode("tokens").alias("token"), "verdict", mark.alias("mark")).groupBy("token")
+                    .agg(F.count("*").alias("n"), F.sum(F.col("mark").cast("decimal(38,0)")).alias("marks"),
+                         F.count_if(F.col("verdict") == "block").alias("blocked"))
+                    .where(F.col("blocked") >= least - 1e-6).orderBy("token").collect())
+    stands: dict[tuple, str] = {}
+    return {r["token"]: stands.setdefault((r["n"], r["marks"]), r["token"]) for r in rows}
+
+
+def kept(stands: dict[str, str]) -> Column:
+    """The column tokens with only the keys of ``stands``, replaced by what
+    stands for them, in order."""
+    if not stands:
+        return F.array().cast("array<string>")
+    out = F.array_intersect("tokens", F.array(*map(F.lit, stands)))
+    if moved := [x for t, r in stands.items() if t != r for x in (F.lit(t), F.lit(r))]:
+        out = F.transform(out, lambda t: F.coalesce(F.try_element_at(F.create_map(*moved), t), t))
+    return F.array_sort(F.array_distinct(out))
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame | None:
@@ -130,12 +157,13 @@ def judge(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT,
     rule, verdict = explicit(rules)
     p = p.withColumns({"rule": rule, "verdict": verdict, "tokens": F.coalesce(tokens(F.col("url")), F.array())})
     p = written_table(p.drop("url"), "url-tokens")
-    mined = mine(p.where("verdict IS NOT NULL").select("tokens", "verdict"), min_support, min_confidence)
+    labelled = p.where("verdict IS NOT NULL").select("tokens", "verdict")
+    stands = frequent(labelled, min_support)
+    mined = mine(labelled.select(kept(stands).alias("tokens"), "verdict"), min_support, min_confidence)
     if mined is None:
         return p.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
-    known = [r["item"] for r in mined.select(F.explode("items").alias("item")).distinct().collect()]  # frequent tokens
-    p = p.withColumn("tokens", F.array_sort(F.array_intersect(
-        "tokens", F.array(*map(F.lit, known)) if known else F.array().cast("array<string>"))))
+    known = {r["item"] for r in mined.select(F.explode("items").alias("item")).distinct().collect()}  # frequent tokens
+    p = p.withColumn("tokens", kept({t: r for t, r in stands.items() if r in known}))
     sets = p.where("verdict IS NULL").select("tokens").distinct()
     hit = written_table(match(sets, mined), "url-hit").withColumn("hit", F.lit("block"))
     return (p.join(hit, "tokens", "left")

@@ -237,6 +237,17 @@ def test_mined_rules_and_index(spark):
     assert [r["tokens"] for r in urlrules.match(sets, rules).collect()] == [["b", "z"]]
 
 
+def test_url_tokens_of_the_whole_url(spark):
+    rules = [("a.net", "/", "block"), ("b.net", "/", "allow")]
+    deep = "/" + "/".join(f"s{k}" for k in range(24))     # one long path of all blocked urls
+    rows = [(i, f"http://{'a' if i % 2 else 'b'}.net{deep if i % 2 else '/x'}/{'ads' if i % 2 else 'news'}/{i}") for i in range(200)]
+    rows += [(200 + i, f"http://{'a' if i % 2 else 'b'}.net/y?a&b&c&d&e{i}&kind={'ad' if i % 2 else 'text'}") for i in range(200)]
+    rows += [(1000, f"http://c.org{deep}/ads/7"), (1001, "http://c.org/y?z&kind=ad"), (1002, "http://c.org/y?z&kind=text"),
+             (1003, "http://c.org/" + "k/" * 24 + "ads/7")]
+    got = {r["page_id"]: r["verdict"] for r in urlrules.judge(frame(spark, rows, "page_id long, url string"), rules).collect()}
+    assert [got[i] for i in range(1000, 1004)] == ["block", "block", "allow", "block"]
+
+
 # ------------------------------------------------------------ 6: toxicity
 
 def test_toxicity_on_held_out_rows(spark):
