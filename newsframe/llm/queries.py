@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsframe.llm import layout, minhash, packing, pieces, quality, secrets, topk, toxicity, urlrules, warc
+from newsframe.llm import (alignment, layout, licenses, minhash, packing, periodic, pieces, quality, secrets, topk, toxicity,
+                           urlrules, warc)
 from newsframe.sources.tables import read_table
 
 
@@ -97,11 +98,27 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM r
 """
 
+
+def op11_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.labelled(read_table(spark, sf_dir, "documents"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return alignment.align_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(read_table(spark, sf_dir, "documents"))
+
+
 _QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_quality_divergence, op3_sentencepiece_dropout, op4_layout_rendering,
     op5_url_association_rules, op6_weak_toxicity, op7_best_two_fit_packing, op8_exact_top_k, op9_secret_forest,
-    op10_warc_boundary_chain)}
-_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op8_exact_top_k": OP8_SQL, "op10_warc_boundary_chain": OP10_SQL}
+    op10_warc_boundary_chain, op11_license_join, op12_tokenizer_alignment, op13_periodic_runs)}
+_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op8_exact_top_k": OP8_SQL, "op10_warc_boundary_chain": OP10_SQL,
+        "op11_license_join": licenses.oracle()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,5 +37,5 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 
 
 def test_registered_queries():
-    assert [q.split("_")[0] for q in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.queries()] == [f"op{i}" for i in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5
