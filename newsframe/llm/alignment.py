@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -128,27 +129,49 @@ def lockstep_links(ends_a: np.ndarray, ends_b: np.ndarray, starts: np.ndarray, s
     return np.sort(np.concatenate(links_a)), np.sort(np.concatenate(links_b))
 
 
-class Aligner:
-    """Encodes the texts of a chunk with both tokenizers and aligns them."""
+class ByteBpe:
+    """Ids of a byte-level BPE tokenizer. Latin texts go to a faster library that
+    takes the same vocabulary as ranks; the letter and digit classes of the two
+    libraries can only differ in scripts that Unicode still extends, so texts with
+    other characters, and very long ones, go to the tokenizer itself."""
 
-    def __init__(self, spec: str, model: bytes, a: Vocabulary, b: Vocabulary):
-        import sentencepiece
+    OTHER = re.compile("[^\\x00-\u024f\u2010-\u2027\u20ac]")
+    PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    LONG = 200_000
+
+    def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task has one core
+        import tiktoken
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(spec)
         self.tok.encode_special_tokens = True
+        special = self.tok.get_added_tokens_decoder()
+        ranks = {t: i for i, t in enumerate(byte_level_tokens(spec)) if i not in special}
+        self.fast = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        if len(text) > self.LONG or self.OTHER.search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
+        return np.array(self.fast.encode_ordinary(text), np.int32)
+
+
+class Aligner:
+    """Encodes the texts of a chunk with both tokenizers and aligns them."""
+
+    def __init__(self, spec: str, model: bytes, a: Vocabulary, b: Vocabulary):
+        import sentencepiece
+        self.bpe = ByteBpe(spec)
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.a, self.b = a, b
 
     def align(self, texts: list[str | None]) -> Aligned:
-        some = [i for i, t in enumerate(texts) if t]
-        enc_a = [np.array(e.ids, np.int32) for e in
-                 self.tok.encode_batch_fast([" " + texts[i] for i in some], add_special_tokens=False)]
-        enc_b = [np.array(e, np.int32) for e in self.sp.encode([texts[i] for i in some], num_threads=1)]
         none = np.empty(0, np.int32)
         ids_a, ids_b = [none] * len(texts), [none] * len(texts)
-        for i, x, y in zip(some, enc_a, enc_b, strict=True):
-            want = np.frombuffer(b" " + texts[i].encode(), np.uint8)
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            x, y = self.bpe.ids(" " + text), np.array(self.sp.encode(text), np.int32)
+            want = np.frombuffer(b" " + text.encode(), np.uint8)
             if np.array_equal(self.a.joined(x), want) and np.array_equal(self.b.joined(y), want):
                 ids_a[i], ids_b[i] = x, y
         return Aligned(ids_a, ids_b, self.a, self.b)

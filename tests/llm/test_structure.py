@@ -121,7 +121,7 @@ def brute_groups(aligner, text):
     tool, tokens_a, tokens_b = aligner
     if not text:
         return []
-    a = tool.tok.encode(" " + text, add_special_tokens=False).ids
+    a = tool.bpe.tok.encode(" " + text, add_special_tokens=False).ids
     b = tool.sp.encode(text)
     whole = (" " + text).encode()
     if b"".join(tokens_a[i] for i in a) != whole or b"".join(tokens_b[i] for i in b) != whole:
@@ -159,6 +159,19 @@ def test_alignment_matches_brute_force(spark, aligner):
     assert alignment.align_digest(frame(spark, []), A_JSON, B_MODEL).count() == 0
 
 
+def test_both_byte_bpe_libraries_agree(aligner):
+    bpe, rng = aligner[0].bpe, random.Random(8)
+    latin = "".join(map(chr, range(0x250)))
+    texts = [t or "" for _, t in alignment_rows()] + [latin, latin[::-1], "'S 're 'LL I've  \u00a0\u0085\x1c x ²½ 1234567"]
+    texts += ["".join(rng.choices(latin + " \n'" * 40 + "etaoin" * 30, k=400)) for _ in range(150)]
+    texts += [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    fast = 0
+    for t in texts:
+        fast += not bpe.OTHER.search(" " + t)
+        assert bpe.ids(" " + t).tolist() == bpe.tok.encode(" " + t, add_special_tokens=False).ids
+    assert fast > 1100
+
+
 def test_alignment_groups_cover_the_text(spark, aligner):
     rows = alignment_rows()
     want = Counter((i, str([(x, y) for x, y in brute_groups(aligner, t)])) for i, t in rows)
