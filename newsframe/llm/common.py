@@ -33,9 +33,13 @@ def without(docs: DataFrame, bad: DataFrame, name: str) -> DataFrame:
 
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker process, so that what a
-    task has worked out serves the worker's later tasks as well."""
+    task has worked out serves the worker's later tasks as well. A worker keeps
+    one such dict: those of other names, left by an earlier stage, are emptied."""
     home = sys.modules.setdefault("_newsframe_worker", types.ModuleType("_newsframe_worker"))
-    return home.__dict__.setdefault(name, {})
+    caches = home.__dict__.setdefault("caches", {})
+    for other in caches.keys() - {name}:
+        caches.pop(other).clear()
+    return caches.setdefault(name, {})
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:

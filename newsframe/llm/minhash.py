@@ -51,7 +51,7 @@ SKETCH_BITS = 1024
 HUB_ROUNDS = 2
 SIGMAS = 5                      # a pair at the threshold fails the sketch filter with under 1e-6
 THRESHOLD = (75, 100)           # similarity as a fraction
-CACHE_WORDS = 700_000
+CACHE_WORDS = 250_000
 MAX_ROUNDS = 64                 # of the components' star steps, which end when nothing changes
 
 
