@@ -6,6 +6,9 @@ keep their feed and position so "first" is well defined downstream."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +16,8 @@ from newsframe import lexicons as L
 from newsframe.functions import text as T
 
 RSS_SCHEMA = ("title string, item array<struct<title:string, link:string, description:string, "
-              "pubDate:string, guid:string>>")
-ATOM_SCHEMA = ("title string, entry array<struct<title:string, link:struct<_href:string>, "
+              "`content:encoded`:string, pubDate:string, guid:string>>")
+ATOM_SCHEMA = ("title string, entry array<struct<title:string, link:array<struct<_href:string, _rel:string>>, "
                "summary:string, content:string, published:string, updated:string>>")
 
 
@@ -43,37 +46,60 @@ def published_ts(raw: Column) -> Column:
     return F.coalesce(rfc, F.try_to_timestamp(raw))
 
 
+def _first_text(first: Column, second: Column) -> Column:
+    """The first text, or the second if that is null or empty ('' without both)."""
+    return F.when(F.coalesce(first, F.lit("")) != "", first).otherwise(F.coalesce(second, F.lit("")))
+
+
 def rss_entries(channels: DataFrame) -> DataFrame:
     """S2 for RSS: (feed, pos, title, link, summary, published, source,
     published_ts). Title trimmed (default ''), link default '', summary =
-    C3 of the description, published raw (default ''), source = channel
-    title (default 'Unknown')."""
+    C3 of the description, or of ``content:encoded`` if that is missing or empty,
+    published raw (default ''), source = channel title (default 'Unknown')."""
     e = channels.select("feed", F.coalesce(F.col("title"), F.lit(L.FEED_SOURCE_DEFAULT)).alias("source"),
                         F.posexplode("item").alias("pos", "it"))
     return e.select(
         "feed", F.col("pos").cast("long").alias("pos"),
         T.strip(F.coalesce(F.col("it.title"), F.lit(""))).alias("title"),
         F.coalesce(F.col("it.link"), F.lit("")).alias("link"),
-        T.clean_article_text(F.coalesce(F.col("it.description"), F.lit(""))).alias("summary"),
+        T.clean_article_text(_first_text(F.col("it.description"), F.col("it.`content:encoded`"))).alias("summary"),
         F.coalesce(F.col("it.pubDate"), F.lit("")).alias("published"),
         "source", published_ts(F.col("it.pubDate")).alias("published_ts"))
 
 
 def atom_entries(feeds: DataFrame) -> DataFrame:
-    """S2 for Atom: as ``rss_entries``; summary falls back to the content."""
+    """S2 for Atom: as ``rss_entries``; summary falls back to the content. Of
+    several links the first ``alternate`` one counts (that is also what a link
+    without ``rel`` is), else the first."""
     e = feeds.select("feed", F.coalesce(F.col("title"), F.lit(L.FEED_SOURCE_DEFAULT)).alias("source"),
                      F.posexplode("entry").alias("pos", "it"))
-    body = F.when(F.coalesce(F.col("it.summary"), F.lit("")) != "", F.col("it.summary")).otherwise(
-        F.coalesce(F.col("it.content"), F.lit("")))
+    links = F.filter("it.link", lambda x: x["_href"].isNotNull())
+    page = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    link = F.coalesce(F.try_element_at(page, F.lit(1))["_href"], F.try_element_at(links, F.lit(1))["_href"], F.lit(""))
     pub = F.coalesce(F.col("it.published"), F.col("it.updated"))
     return e.select(
         "feed", F.col("pos").cast("long").alias("pos"),
         T.strip(F.coalesce(F.col("it.title"), F.lit(""))).alias("title"),
-        F.coalesce(F.col("it.link._href"), F.lit("")).alias("link"),
-        T.clean_article_text(body).alias("summary"),
+        link.alias("link"),
+        T.clean_article_text(_first_text(F.col("it.summary"), F.col("it.content"))).alias("summary"),
         F.coalesce(pub, F.lit("")).alias("published"), "source", published_ts(pub).alias("published_ts"))
 
 
+def feed_entries(spark: SparkSession, paths: str | Sequence[str], fmt: str = "any", stream: bool = False) -> DataFrame:
+    """S2 over one or several folders (or files) of feed documents. ``fmt``: 'rss',
+    'atom', or 'any' for folders that hold both kinds (a document of one kind has no
+    rows for the other's reader)."""
+    if fmt not in ("rss", "atom", "any"):
+        raise ValueError(f"unknown feed format {fmt!r}")
+    parts = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        if fmt != "atom":
+            parts.append(rss_entries(read_rss(spark, path, stream)))
+        if fmt != "rss":
+            parts.append(atom_entries(read_atom(spark, path, stream)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def with_entry_id(entries: DataFrame, out: str = "entry_id") -> DataFrame:
     """Sortable entry id: feed name, then the zero-padded position, so
     comparing ids follows feed order and entry order (no global window). A
