@@ -18,8 +18,9 @@ from newsframe import lexicons as L
 from newsframe.functions import keywords as KWF
 from newsframe.functions import text as T
 from newsframe.operators.tokens import by_document
+from newsframe.operators.vectors import dot, norm, summed_vectors, with_vectors
 from newsframe.operators.wordstats import top_words, word_counts
-from newsframe.session import small_table
+from newsframe.session import small_table, written_table
 
 
 def _layout(df: DataFrame, id_col: str, text_col: str, clean: bool, partitioned: bool) -> DataFrame:
@@ -163,68 +164,6 @@ def hashed_vector_key(word_col, n_rows):
     return F.pmod(h, n_rows if not isinstance(n_rows, int) else F.lit(n_rows))
 
 
-def _embedding_topn_fn(top_n: int, id_col: str, digits: int = 6):
-    import numpy as np
-    import pandas as pd
-
-    scale = 10.0 ** digits
-
-    def one(words, counts, cand, flat) -> list:
-        if words is None or len(words) == 0:
-            return []
-        cand = np.asarray(cand, dtype=bool)
-        if not cand.any():
-            return []
-        mat = np.asarray(flat, dtype=np.float64).reshape(len(words), -1)
-        dvec = np.asarray(counts, dtype=np.float64) @ mat
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cos = (mat @ dvec) / (np.sqrt((mat * mat).sum(axis=1)) * np.sqrt(dvec @ dvec))
-        scores = np.round(cos * scale) / scale
-        idx = np.nonzero(cand)[0]
-        order = sorted(idx, key=lambda k: (-scores[k], words[k]))
-        return [words[k] for k in order[:top_n]]
-
-    def fn(batches):
-        for pdf in batches:
-            kws = [one(w, n, c, v) for w, n, c, v in zip(pdf["ws"], pdf["ns"], pdf["cs"], pdf["vs"])]
-            yield pd.DataFrame({id_col: pdf[id_col], "kw": kws})
-    return fn
-
-
-def _embedding_topn_keys_fn(top_n: int, id_col: str, bc, digits: int = 6):
-    import numpy as np
-    import pandas as pd
-
-    scale = 10.0 ** digits
-
-    def one(words, rows, counts, cand, mat_all) -> list:
-        if words is None or len(words) == 0:
-            return []
-        cand = np.asarray(cand, dtype=bool)
-        if not cand.any():
-            return []
-        mat = mat_all[np.asarray(rows, dtype=np.int64)]
-        dvec = np.asarray(counts, dtype=np.float64) @ mat
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cos = (mat @ dvec) / (np.sqrt((mat * mat).sum(axis=1)) * np.sqrt(dvec @ dvec))
-        scores = np.round(cos * scale) / scale
-        idx = np.nonzero(cand)[0]
-        order = sorted(idx, key=lambda k: (-scores[k], words[k]))
-        return [words[k] for k in order[:top_n]]
-
-    def fn(batches):
-        mat_all = bc.value
-        for pdf in batches:
-            kws = [one(w, r, n, c, mat_all) for w, r, n, c in zip(pdf["ws"], pdf["rs"], pdf["ns"], pdf["cs"])]
-            yield pd.DataFrame({id_col: pdf[id_col], "kw": kws})
-    return fn
-
-
-# Vector tables up to this many values (rows x dimensions, float64) are
-# shipped once to every task as a matrix; larger ones travel with the rows.
-VECTOR_BROADCAST_MAX_VALUES = 10_000_000
-
-
 def keywords_embedding(df: DataFrame, vectors: DataFrame, stop_words: Sequence[str],
                        text_col: str = "text", id_col: str = "doc_id", top_n: int = L.KEYWORDS_TOP,
                        key=None, out: str = "keywords", clean: bool = True,
@@ -234,66 +173,43 @@ def keywords_embedding(df: DataFrame, vectors: DataFrame, stop_words: Sequence[s
     direction of their mean); top ``top_n``, ties by word.
 
     ``vectors`` is (key, vec); ``key`` maps a word column to that key
-    (default: the word itself). Per-(doc, word) counts come from the local
-    aggregate; each document's (word, count, vector) rows are gathered into
-    one row on the same partitioning (bounded by the document's vocabulary)
-    and scored with numpy matrix products in Arrow batches."""
-    spark = df.sparkSession
+    (default: the word itself). Per-(doc, word) counts are joined to the table, the
+    document vector is their aggregate, and the cosine a column; counts, vectors and
+    ranks all stay on the document partitioning. A word whose vector or whose
+    document's vector is zero ranks last."""
     dd = _layout(df, id_col, text_col, clean, partitioned)
     toks = F.filter(F.split("_t", " "), lambda w: w != F.lit(""))
     counts = dd.select(id_col, F.explode_outer(toks).alias("w")).groupBy(id_col, "w").agg(
         F.count(F.lit(1)).alias("n"))
-    k = key(F.col("w")) if key is not None else F.col("w")
     stop = sorted(set(stop_words))
-    cand = (F.length("w") >= 2) & ~F.array_contains(F.array(*[F.lit(s) for s in stop]), F.col("w")) \
-        if stop else (F.length("w") >= 2)
-    first = vectors.select(F.size("vec").alias("dim")).first()
-    dim = max(int(first["dim"]), 1) if first is not None else 1
-    max_rows = VECTOR_BROADCAST_MAX_VALUES // dim
-    n_vec = vectors.limit(max_rows + 1).count()
-    if n_vec <= max_rows:
-        # small vector table: a row index per key (a join against the
-        # broadcast key -> row table) and the matrix broadcast once per task
-        import numpy as np
-        indexed = vectors.select(F.col("key").alias("_key"), "vec").orderBy("_key").collect()
-        mat = np.array([np.asarray(r["vec"], dtype=np.float64) for r in indexed]) if indexed else np.zeros((0, 0))
-        rows_df = spark.createDataFrame([(r["_key"], i) for i, r in enumerate(indexed)],
-                                        f"_key {vectors.schema['key'].dataType.simpleString()}, _row long")
-        bc = spark.sparkContext.broadcast(mat)
-        joined = counts.withColumn("_key", k).join(F.broadcast(rows_df), "_key", "left")
-        # one row per document survives (NULL word); the lists skip rows
-        # without a word or vector, all four alike so they stay aligned
-        ok = F.col("w").isNotNull() & F.col("_row").isNotNull()
-        per_doc = joined.withColumn("_cand", cand).groupBy(id_col).agg(
-            F.collect_list(F.when(ok, F.col("w"))).alias("ws"), F.collect_list(F.when(ok, F.col("_row"))).alias("rs"),
-            F.collect_list(F.when(ok, F.col("n"))).alias("ns"),
-            F.collect_list(F.when(ok, F.col("_cand"))).alias("cs"))
-        res = per_doc.mapInPandas(_embedding_topn_keys_fn(top_n, id_col, bc),
-                                  schema=f"{id_col} long, kw array<string>")
-        return res.select(id_col, F.col("kw").alias(out))
-    vec = vectors.select(F.col("key").alias("_key"), F.col("vec"))
-    joined = counts.filter(F.col("w").isNotNull()).withColumn("_key", k).join(vec, "_key")
-    per_doc = joined.withColumn("_cand", cand).groupBy(id_col).agg(
-        F.collect_list("w").alias("ws"), F.collect_list("n").alias("ns"),
-        F.collect_list("_cand").alias("cs"), F.flatten(F.collect_list("vec")).alias("vs"))
-    res = per_doc.mapInPandas(_embedding_topn_fn(top_n, id_col), schema=f"{id_col} long, kw array<string>")
-    res = res.select(id_col, F.col("kw").alias(out))
-    return _with_all_ids(dd, res, id_col, out)
+    cand = F.length("w") >= 2
+    if stop:
+        cand = cand & ~F.col("w").isin(stop)
+    rows = with_vectors(counts, vectors, key)
+    scored = rows.withColumn("_cand", F.coalesce(cand & F.col("vec").isNotNull(), F.lit(False))).join(
+        summed_vectors(rows, id_col), id_col, "left")
+    cos = dot(F.col("vec"), F.col("dvec")) / F.nullif(F.col("vnorm") * norm(F.col("dvec")), F.lit(0.0))
+    scored = scored.select(id_col, "w", "_cand", F.when(F.col("_cand"), T.pyround(cos, 6)).alias("_score"))
+    # words that are no candidates come last, so each document keeps a row
+    best = Window.partitionBy(id_col).orderBy(F.col("_cand").desc(), F.col("_score").desc_nulls_last(), F.col("w"))
+    top = scored.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= top_n)
+    picked = F.collect_list(F.when(F.col("_cand"), F.struct("_rn", "w")))
+    return top.groupBy(id_col).agg(F.transform(F.array_sort(picked), lambda x: x["w"]).alias(out))
 
 
 def extract_keywords(df: DataFrame, vectors: DataFrame, stop_words: Sequence[str], text_col: str = "text",
                      id_col: str = "doc_id", top_n: int = L.KEYWORDS_TOP, key=None,
                      out: str = "keywords", partitioned: bool = False) -> DataFrame:
     """K5: unstripped length < 100 -> []; else K3 on the C5 text, RAKE (K2)
-    when K3 finds nothing, then K4 post-processing."""
+    where K3 finds nothing (and only there), then K4 post-processing."""
     dd = df.select(id_col, text_col)
     dd = dd if partitioned else by_document(dd, id_col)
-    short = dd.select(id_col, T.too_short(text_col, L.GUARD_KEYWORDS_MIN, stripped=False).alias("_short"))
-    live = dd.join(short.filter(~F.col("_short")), id_col, "left_semi")
-    k3 = keywords_embedding(live, vectors, stop_words, text_col, id_col, top_n, key, "k3", partitioned=True)
-    k2 = keywords_rake(live, stop_words, text_col, id_col, top_n, "k2", partitioned=True)
-    both = k3.join(k2, id_col, "full")
-    pick = F.when(F.size(F.coalesce("k3", F.array().cast("array<string>"))) > 0, F.col("k3")).otherwise(F.col("k2"))
-    picked = both.select(id_col, KWF.postprocess_keywords(pick, stop_words).alias(out))
-    return short.join(picked, id_col, "left").select(
+    live = dd.filter(~T.too_short(text_col, L.GUARD_KEYWORDS_MIN, stripped=False))
+    k3 = written_table(keywords_embedding(live, vectors, stop_words, text_col, id_col, top_n, key, "kw",
+                                          partitioned=True), "k3")
+    none = k3.filter(F.size("kw") == 0).select(id_col)
+    k2 = keywords_rake(live.join(none, id_col, "left_semi"), stop_words, text_col, id_col, top_n, "kw")
+    picked = k3.filter(F.size("kw") > 0).union(k2).select(
+        id_col, KWF.postprocess_keywords(F.col("kw"), stop_words).alias(out))
+    return dd.select(id_col).join(picked, id_col, "left").select(
         id_col, F.coalesce(F.col(out), F.array().cast("array<string>")).alias(out))
