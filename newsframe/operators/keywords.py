@@ -18,7 +18,7 @@ from newsframe import lexicons as L
 from newsframe.functions import keywords as KWF
 from newsframe.functions import text as T
 from newsframe.operators.tokens import by_document
-from newsframe.operators.vectors import dot, norm, summed_vectors, with_vectors
+from newsframe.operators.vectors import VectorTable, dot
 from newsframe.operators.wordstats import top_words, word_counts
 from newsframe.session import small_table, written_table
 
@@ -185,11 +185,13 @@ def keywords_embedding(df: DataFrame, vectors: DataFrame, stop_words: Sequence[s
     cand = F.length("w") >= 2
     if stop:
         cand = cand & ~F.col("w").isin(stop)
-    rows = with_vectors(counts, vectors, key)
-    scored = rows.withColumn("_cand", F.coalesce(cand & F.col("vec").isNotNull(), F.lit(False))).join(
-        summed_vectors(rows, id_col), id_col, "left")
-    cos = dot(F.col("vec"), F.col("dvec")) / F.nullif(F.col("vnorm") * norm(F.col("dvec")), F.lit(0.0))
-    scored = scored.select(id_col, "w", "_cand", F.when(F.col("_cand"), T.pyround(cos, 6)).alias("_score"))
+    table = VectorTable(vectors, key)
+    # one vector per document, joined on the partitioning that both sides have
+    rows = counts.join(table.summed(counts, id_col).hint("shuffle_hash"), id_col, "left")
+    rows = table.to_words(rows).withColumn("_cand", F.coalesce(cand & F.col("vec").isNotNull(), F.lit(False)))
+    cos = dot(F.col("vec"), F.col("dvec")) / F.nullif(F.col("vnorm") * F.col("dnorm"), F.lit(0.0))
+    scored = rows.select(id_col, "w", "_cand", F.when(F.col("_cand"), cos).alias("_cos"))   # once, rounding reads it often
+    scored = scored.withColumn("_score", T.pyround("_cos", 6))
     # words that are no candidates come last, so each document keeps a row
     best = Window.partitionBy(id_col).orderBy(F.col("_cand").desc(), F.col("_score").desc_nulls_last(), F.col("w"))
     top = scored.withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= top_n)

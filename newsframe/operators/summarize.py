@@ -1,8 +1,8 @@
 """Batch summarization hook (M2).
 
 Guard and truncation run as native expressions; the summarizer itself is a
-pluggable backend called per Arrow batch through ``mapInPandas`` (a model is
-loaded once per task by the backend, not per row). A primary backend may be
+pluggable backend called per Arrow batch through ``mapInPandas``; a factory
+loads a model once per task, not per batch or row. A primary backend may be
 backed by a fallback; every row carries a status instead of relying on the
 text of the summary."""
 
@@ -35,15 +35,18 @@ def lead_backend(k: int = L.LEAD_SENTENCES) -> Backend:
 def summarize(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
               backend: Backend | None = None, fallback: Backend | None = None,
               max_words: int = L.TRUNCATE_REMOTE_WORDS, fallback_words: int = L.TRUNCATE_LOCAL_WORDS,
-              out: str = "summary") -> DataFrame:
+              out: str = "summary", factory: Callable[[], Backend] | None = None,
+              fallback_factory: Callable[[], Backend] | None = None) -> DataFrame:
     """M2: (id, summary, status). Texts shorter than 100 characters (after
     strip) get the fixed answer and status 'short'; others go to ``backend``
     cut to ``max_words`` words and, where it fails, to ``fallback`` cut to
     ``fallback_words`` (status 'fallback'); rows neither could do get 'failed'.
+    A ``factory`` makes the backend (it loads a model, say) and is called once in
+    each task, at the first text that needs it, however many batches follow.
     Without a backend the first sentences of the shorter cut are the summary,
     as a plain column expression."""
     short = T.too_short(text_col, L.GUARD_SUMMARY_MIN)
-    if backend is None:
+    if backend is None and factory is None:
         from newsframe.functions.summary import summary_lead as lead
         return df.select(id_col, F.when(short, F.lit(L.TOO_SHORT_SUMMARY)).otherwise(
             lead(T.truncate_words(text_col, fallback_words))).alias(out),
@@ -52,23 +55,26 @@ def summarize(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                      T.truncate_words(text_col, fallback_words).alias("_less"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, second = backend, fallback
         for pdf in batches:
             res = pd.Series(L.TOO_SHORT_SUMMARY, index=pdf.index, dtype=object)
             status = pd.Series("short", index=pdf.index, dtype=object)
             live = ~pdf["_short"].astype(bool)
             if live.any():
-                s, ok = backend(pdf.loc[live, "_in"])
+                first = first or factory()
+                s, ok = first(pdf.loc[live, "_in"])
                 res[live] = s
                 status[live] = ok.map({True: "ok", False: "failed"})
                 failed = live & (status == "failed")
-                if fallback is not None and failed.any():
-                    s2, ok2 = fallback(pdf.loc[failed, "_less"])
+                if failed.any() and (second is not None or fallback_factory is not None):
+                    second = second or fallback_factory()
+                    s2, ok2 = second(pdf.loc[failed, "_less"])
                     res[failed] = s2
                     status[failed] = ok2.map({True: "fallback", False: "failed"})
             yield pd.DataFrame({id_col: pdf[id_col], out: res, "status": status})
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return prep.mapInPandas(run, schema=f"{id_col} {id_type}, {out} string, status string")
+    return prep.mapInPandas(run, schema=f"`{id_col}` {id_type}, `{out}` string, status string")
 
 
 def summary_lead(df: DataFrame, text_col: str = "text", out: str = "summary") -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsframe.functions import text as T
@@ -23,6 +23,7 @@ from newsframe.session import small_table
 
 #: A vector table of up to so many values (rows x dimensions) is broadcast.
 VECTOR_BROADCAST_MAX_VALUES = 10_000_000
+SUMMED_COLUMNS = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,24 +35,41 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def with_vectors(words: DataFrame, vectors: DataFrame, key: Callable[[Column], Column] | None = None,
-                 word_col: str = "w") -> DataFrame:
-    """Add ``vec`` (array<double>) and its length ``vnorm`` to rows of words; null for
-    words without a vector. ``key`` maps the word column to the table's key."""
-    first = vectors.select(F.size("vec").alias("dim")).first()      # one row
-    dim = max(int(first["dim"]), 1) if first is not None and first["dim"] is not None else 1
-    table = vectors.select(F.col("key").alias("_key"), F.col("vec").cast("array<double>").alias("vec"))
-    table = small_table(table.withColumn("vnorm", norm(F.col("vec"))), VECTOR_BROADCAST_MAX_VALUES // dim)
-    keyed = words.withColumn("_key", key(F.col(word_col)) if key is not None else F.col(word_col))
-    return keyed.join(table, "_key", "left").drop("_key")
-
-
-def summed_vectors(rows: DataFrame, id_col: str, weight: str = "n", out: str = "dvec") -> DataFrame:
-    """(id, out): the weighted sum of the rows' ``vec`` per document, up to a positive
-    factor (the weights' sum), for documents with a vector."""
-    mean = Summarizer.metrics("mean").summary(array_to_vector(F.col("vec")), F.col(weight).cast("double"))
-    return (rows.filter(F.col("vec").isNotNull()).groupBy(id_col).agg(mean.alias("_m"))
-            .select(id_col, vector_to_array("_m.mean").alias(out)))
+class VectorTable:
+    """A word-vector table (key, vec), ready to be joined to words. ``key`` maps a word
+    column to the table's key (default: the word itself)."""
+
+    def __init__(self, vectors: DataFrame, key: Callable[[Column], Column] | None = None):
+        first = vectors.select(F.size("vec").alias("dim")).first()      # one row
+        self.dim = max(int(first["dim"]), 1) if first is not None and first["dim"] is not None else 1
+        self.key = key
+        table = vectors.select(F.col("key").alias("_key"), F.col("vec").cast("array<double>").alias("vec"))
+        rows = VECTOR_BROADCAST_MAX_VALUES // self.dim
+        n = table.limit(rows + 1).count()
+        self.table = small_table(table, rows, n)
+        self.table_with_norm = small_table(table.withColumn("vnorm", norm(F.col("vec"))), rows, n)
+
+    def _keyed(self, words: DataFrame, word_col: str) -> DataFrame:
+        return words.withColumn("_key", self.key(F.col(word_col)) if self.key is not None else F.col(word_col))
+
+    def to_words(self, words: DataFrame, word_col: str = "w") -> DataFrame:
+        """Add ``vec`` and its length ``vnorm`` (null for words without a vector)."""
+        return self._keyed(words, word_col).join(self.table_with_norm, "_key", "left").drop("_key")
+
+    def summed(self, counts: DataFrame, id_col: str, word_col: str = "w", weight: str = "n") -> DataFrame:
+        """(id, dvec, dnorm): per document the direction of the weighted sum of its
+        words' vectors, and its length; no row for documents without a vector.
+        Tables of up to SUMMED_COLUMNS dimensions are summed as that many columns of
+        a generated hash aggregate, wider ones by the vector summarizer."""
+        rows = self._keyed(counts, word_col).join(self.table, "_key").filter(F.col("vec").isNotNull())
+        if self.dim <= SUMMED_COLUMNS:
+            sums = rows.groupBy(id_col).agg(*[F.sum(F.col("vec")[k] * F.col(weight)).alias(f"_s{k}")
+                                              for k in range(self.dim)])
+            out = sums.select(id_col, F.array(*[F.col(f"_s{k}") for k in range(self.dim)]).alias("dvec"))
+        else:
+            mean = Summarizer.metrics("mean").summary(array_to_vector(F.col("vec")), F.col(weight).cast("double"))
+            out = rows.groupBy(id_col).agg(mean.alias("_m")).select(id_col, vector_to_array("_m.mean").alias("dvec"))
+        return out.withColumn("dnorm", norm(F.col("dvec")))
 
 
 def embed_texts_dense(df: DataFrame, vectors: DataFrame, text_col: str = "text", id_col: str = "doc_id",
@@ -61,14 +79,11 @@ def embed_texts_dense(df: DataFrame, vectors: DataFrame, text_col: str = "text",
     one whose vectors sum to zero, has no direction: its embedding is null. Rows that
     repeat an id count as one text. Ids may have any type."""
     dd = by_document(df.select(id_col, F.col(text_col).alias("_t")), id_col)
-    counts = dd.select(id_col, F.explode_outer(T.tokens("_t")).alias("w")).groupBy(id_col, "w").agg(
+    counts = dd.select(id_col, F.explode(T.tokens("_t")).alias("w")).groupBy(id_col, "w").agg(
         F.count(F.lit(1)).alias("n"))
-    rows = with_vectors(counts, vectors, key)
-    # a document without words keeps one row, without a vector
-    ids = counts.select(id_col).withColumn("_rn", F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(1))))
-    sums = ids.filter("_rn = 1").select(id_col).join(summed_vectors(rows, id_col), id_col, "left")
-    length = norm(F.col("dvec"))
-    return sums.select(id_col, F.when(length > 0, F.transform("dvec", lambda x: x / length)).alias(out))
+    ids = dd.select(id_col).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).select(id_col)
+    sums = ids.join(VectorTable(vectors, key).summed(counts, id_col), id_col, "left")
+    return sums.select(id_col, F.when(F.col("dnorm") > 0, F.transform("dvec", lambda x: x / F.col("dnorm"))).alias(out))
 
 
 #: Makes a model's encoder: texts to a matrix with one row each. Called once per task.

@@ -13,6 +13,7 @@ from newsframe.operators.credibility import credibility_heuristic as d1_op
 from newsframe.operators.credibility import top3_repetition as top3_repetition_op
 from newsframe.plans import params as PR
 from newsframe.plans import sqlkit as K
+from newsframe.operators import cues
 from newsframe.plans.registry import register
 from newsframe.sources.tables import read_table
 
@@ -146,6 +147,16 @@ def bias_cue_count(spark, base):
                                      S.bias_cue_count(c, BIAS_DATA_CUES).alias("cue_count_data"))
 
 
+@register("bias_cue_count_lexicon", f"""WITH cues AS (SELECT DISTINCT unnest({K.tokens('text')}) AS cue FROM benchmark),
+c AS (SELECT doc_id, {K.clean_bias('text')} AS t FROM documents)
+SELECT doc_id, coalesce(sum((length(t) - length(replace(t, cue, ''))) // length(cue)), 0)::BIGINT AS cue_count
+FROM c, cues WHERE length(cue) >= 5 GROUP BY doc_id""")
+def bias_cue_count_lexicon(spark, base):
+    """D3 with the words of five letters and more of the benchmark table as cues."""
+    words = read_table(spark, base, "benchmark").select(F.explode(T.tokens("text")).alias("cue"))
+    return cues.bias_cue_count(_docs(spark, base), words.filter(F.length("cue") >= 5))
+
+
 # ------------------------------------------------------------- polarity SQL
 
 DEC = "DECIMAL(12,6)"

@@ -3,10 +3,17 @@ joined with ',' where the format cannot hold arrays (CSV, text tables)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from newsframe.session import written_table
+
+COMMITS = "_commits"        # beside the partitions; readers skip names that begin so
+
 
 def with_timestamp(df: DataFrame, col: str = "timestamp") -> DataFrame:
     return df.withColumn(col, F.current_timestamp())
@@ -40,9 +47,89 @@ def sink_table_articles(df: DataFrame, path: str | None = None, table: str | Non
     w.saveAsTable(table) if table else w.parquet(path)
 
 
-def summary_records(df: DataFrame) -> DataFrame:
-    """Add a generated text id and the creation time (W4 record shape)."""
-    return df.withColumn("id", F.expr("uuid()")).withColumn("created_at", F.current_timestamp())
+def summary_records(df: DataFrame, run_id: str | None = None) -> DataFrame:
+    """Add a generated text id and the creation time (W4 record shape). With a
+    ``run_id`` the id is a hash of it, the record and (for equal records) their
+    number, so a repeated run generates the same ids."""
+    if run_id is None:
+        return df.withColumn("id", F.expr("uuid()")).withColumn("created_at", F.current_timestamp())
+    own = F.sha2(F.to_json(F.struct(*df.columns)), 256)
+    n = F.row_number().over(Window.partitionBy("_own").orderBy("_own"))
+    h = F.md5(F.concat_ws("/", F.lit(run_id), "_own", n.cast("string")))
+    return df.withColumn("_own", own).withColumn("id", h).drop("_own").withColumn("created_at", F.current_timestamp())
+
+
+# ---------------------------------------------------- stored once
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.option("basePath", path).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the runs that ``append_once`` has committed under ``path``."""
+    runs = spark.read.schema("run_id string, stored_rows long").json(f"{path}/{COMMITS}/*")
+    return spark.read.option("basePath", path).parquet(path).withColumn("run_id", F.col("run_id").cast("string")).join(
+        F.broadcast(runs.select("run_id").distinct()), "run_id", "left_semi").drop("run_id")
+
+
+def append_once(df: DataFrame, path: str, run_id: str, id_col: str = "id") -> int:
+    """Append ``df`` as the partition of its run, so that a job that is repeated with
+    the same ``run_id`` stores nothing twice; returns the number of rows stored.
+
+    Rows whose id a committed run has already stored are left out (anti-join on the
+    id). Ids repeated within ``df`` are refused, and so are ids that another,
+    unfinished run has written: each run writes its rows first and looks for the
+    others' afterwards, so of two concurrent runs at least one sees the other. Only a
+    run with a commit record counts (see ``committed``), so a refused or broken run leaves nothing
+    visible, and its repetition replaces its own partition."""
+    spark = df.sparkSession
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run_id):
+        raise ValueError(f"run id {run_id!r}: letters, digits, _ . - only")
+    done = _commits(spark, path)
+    before = _stored(spark, path)
+    new = df
+    if before is not None and done:
+        old = committed(spark, path) if run_id not in done else before.filter(F.col("run_id") != run_id)
+        new = df.join(old.select(id_col).distinct(), id_col, "left_anti")
+    new = written_table(new.withColumn("run_id", F.lit(run_id)), "append")
+    if not duplicate_ids(new, id_col).isEmpty():
+        raise ValueError(f"repeated {id_col} in the rows of run {run_id!r}")
+    (new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
+    others = spark.read.option("basePath", path).parquet(path).filter(F.col("run_id").cast("string") != run_id)
+    if not new.join(others.select(id_col), id_col, "left_semi").isEmpty():
+        raise ValueError(f"another run has written some {id_col} of run {run_id!r}")
+    n = new.count()
+    spark.createDataFrame([(run_id, n)], "run_id string, stored_rows long").coalesce(1).write.mode("overwrite").json(
+        f"{path}/{COMMITS}/{run_id}")
+    return n
+
+
+def _commits(spark: SparkSession, path: str) -> set[str]:
+    """Run ids with a commit record (one small row per run)."""
+    try:
+        rows = spark.read.schema("run_id string, stored_rows long").json(f"{path}/{COMMITS}/*").select("run_id").distinct()
+        return {r["run_id"] for r in rows.collect()}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return set()
+
+
+def sink_articles_once(df: DataFrame, path: str, run_id: str, id_col: str = "url") -> int:
+    """W3, stored once: (id, summary, credibility, keywords, timestamp)."""
+    return append_once(flatten_arrays(with_timestamp(df.select(id_col, "summary", "credibility", "keywords"))), path,
+                       run_id, id_col)
+
+
+def sink_summaries_once(df: DataFrame, path: str, run_id: str) -> int:
+    """W4, stored once: ids follow from the run and the record."""
+    out = summary_records(df.select("summary", "credibility", "keywords"), run_id)
+    return append_once(flatten_arrays(out.select("id", "summary", "credibility", "keywords", "created_at")), path, run_id)
 
 
 def sink_table_summaries(df: DataFrame, path: str | None = None, table: str | None = None) -> None:
@@ -72,20 +159,28 @@ def sink_text_report(df: DataFrame, path: str, id_col: str = "id", time_col: str
                           F.col("credibility"), F.col("keywords")).alias("value")).write.mode("append").text(path)
 
 
+#: Modes of the analysis service and of the command line, and further ones for both.
 SINKS = {"json": sink_jsonl, "jsonl": sink_jsonl, "csv": sink_csv, "db": sink_table_articles,
          "table": sink_table_articles, "summaries": sink_table_summaries, "txt": sink_text_report}
+FAMILIES = {"api": SINKS, "cli": {"db": sink_table_summaries, "json": sink_jsonl, "txt": sink_text_report}}
+#: Modes that need a data source of another package on the class path.
+FORMATS = {"mongo": "mongodb"}
 
 
-def sink_router(df: DataFrame, mode: str, path: str, **options) -> None:
+def sink_router(df: DataFrame, mode: str, path: str, family: str = "api", **options) -> None:
     """Dispatch by mode; ``format:<name>`` writes with any Spark data
-    source. Articles go to ``db``, summary records (the command line's ``db``) to
-    ``summaries``. An unknown mode raises and writes nothing. (The one-file JSON
-    array of the CLI is re-aimed to ``json`` lines: rewriting one file per
-    record does not distribute.)"""
-    if mode.startswith("format:"):
-        with_timestamp(df).write.mode("append").format(mode.split(":", 1)[1]).options(**options).save(path)
+    source, and ``mongo`` with the one of that store. ``db`` holds articles for the
+    service (``family="api"``) and summary records for the command line
+    (``family="cli"``), which knows db, json and txt only. An unknown mode raises and
+    writes nothing. (The one-file JSON array of the command line is re-aimed to ``json`` lines:
+    rewriting one file per record does not distribute.)"""
+    if family not in FAMILIES:
+        raise ValueError(f"unknown family {family!r}")
+    source = mode.split(":", 1)[1] if mode.startswith("format:") else FORMATS.get(mode) if family == "api" else None
+    if source:
+        with_timestamp(df).write.mode("append").format(source).options(**options).save(path)
         return
-    fn = SINKS.get(mode)
+    fn = FAMILIES[family].get(mode)
     if fn is None:
         raise ValueError(f"unknown storage mode {mode!r}")
     fn(df, path)
