@@ -6,7 +6,9 @@ import sys
 import types
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,20 +39,22 @@ def worker_cache(name: str) -> dict:
     one such dict: those of other names, left by an earlier stage, are emptied."""
     home = sys.modules.setdefault("_newsframe_worker", types.ModuleType("_newsframe_worker"))
     caches = home.__dict__.setdefault("caches", {})
-    for other in caches.keys() - {name}:
-        caches.pop(other).clear()
+    if others := caches.keys() - {name}:
+        for other in others:
+            caches.pop(other).clear()
+        pa.default_memory_pool().release_unused()   # what the earlier stage's batches held
     return caches.setdefault(name, {})
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of the batches with bounded text, and their texts (None for null)."""
+    """Parts of the batches with bounded text, and their texts (None for null). A
+    batch is cut by its texts' lengths before any of them becomes a Python string."""
     for batch in batches:
-        texts = batch.column(text).to_pylist()
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= CHUNK_CHARS:
-                yield batch.slice(start, i + 1 - start), texts[start:i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            full = (size[start - 1] if start else 0) + CHUNK_CHARS
+            stop = max(start + 1, int(np.searchsorted(size, full, "right")))
+            part = batch.slice(start, stop - start)
+            yield part, part.column(text).to_pylist()
+            start = stop

@@ -32,7 +32,7 @@ from newsframe.session import written_table
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 700_000       # words with known ids that a worker keeps
+CACHE_WORDS = 400_000       # words with known ids that a worker keeps
 TAIL = ".,!?;:#*$%&|()"     # marks that often follow a word
 RANK_BLOCK = 100_000        # pieces ranked in one block, on average
 
