@@ -18,7 +18,7 @@ from newsframe import lexicons as L
 from newsframe.functions import keywords as KWF
 from newsframe.functions import text as T
 from newsframe.operators.tokens import by_document
-from newsframe.operators.vectors import VectorTable, dot
+from newsframe.operators.vectors import VECTOR_BROADCAST_MAX_VALUES, VectorTable, dot
 from newsframe.operators.wordstats import top_words, word_counts
 from newsframe.session import small_table, written_table
 
@@ -185,7 +185,7 @@ def keywords_embedding(df: DataFrame, vectors: DataFrame, stop_words: Sequence[s
     cand = F.length("w") >= 2
     if stop:
         cand = cand & ~F.col("w").isin(stop)
-    table = VectorTable(vectors, key)
+    table = VectorTable(vectors, key, VECTOR_BROADCAST_MAX_VALUES)
     # one vector per document, joined on the partitioning that both sides have
     rows = counts.join(table.summed(counts, id_col).hint("shuffle_hash"), id_col, "left")
     rows = table.to_words(rows).withColumn("_cand", F.coalesce(cand & F.col("vec").isNotNull(), F.lit(False)))

@@ -39,12 +39,13 @@ class VectorTable:
     """A word-vector table (key, vec), ready to be joined to words. ``key`` maps a word
     column to the table's key (default: the word itself)."""
 
-    def __init__(self, vectors: DataFrame, key: Callable[[Column], Column] | None = None):
+    def __init__(self, vectors: DataFrame, key: Callable[[Column], Column] | None = None,
+                 broadcast_values: int = VECTOR_BROADCAST_MAX_VALUES):
         first = vectors.select(F.size("vec").alias("dim")).first()      # one row
         self.dim = max(int(first["dim"]), 1) if first is not None and first["dim"] is not None else 1
         self.key = key
         table = vectors.select(F.col("key").alias("_key"), F.col("vec").cast("array<double>").alias("vec"))
-        rows = VECTOR_BROADCAST_MAX_VALUES // self.dim
+        rows = broadcast_values // self.dim
         n = table.limit(rows + 1).count()
         self.table = small_table(table, rows, n)
         self.table_with_norm = small_table(table.withColumn("vnorm", norm(F.col("vec"))), rows, n)

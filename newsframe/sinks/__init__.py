@@ -176,9 +176,16 @@ def sink_router(df: DataFrame, mode: str, path: str, family: str = "api", **opti
     rewriting one file per record does not distribute.)"""
     if family not in FAMILIES:
         raise ValueError(f"unknown family {family!r}")
-    source = mode.split(":", 1)[1] if mode.startswith("format:") else FORMATS.get(mode) if family == "api" else None
-    if source:
-        with_timestamp(df).write.mode("append").format(source).options(**options).save(path)
+    if mode.startswith("format:"):
+        with_timestamp(df).write.mode("append").format(mode.split(":", 1)[1]).options(**options).save(path)
+        return
+    if family == "api" and mode in FORMATS:
+        try:
+            with_timestamp(df).write.mode("append").format(FORMATS[mode]).options(**options).save(path)
+        except Exception as e:
+            if "DATA_SOURCE_NOT_FOUND" not in str(e):
+                raise
+            raise ValueError(f"storage mode {mode!r} needs the data source {FORMATS[mode]!r} on the class path") from e
         return
     fn = FAMILIES[family].get(mode)
     if fn is None:
