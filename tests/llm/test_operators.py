@@ -355,6 +355,32 @@ def test_packing_is_a_gapless_exact_cover(spark):
     assert packing.pack(frame(spark, []), WORD_BPE).count() == 0
 
 
+def test_fast_word_ids_equal_the_tokenizers():
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(WORD_BPE)
+    with open(WORD_BPE, encoding="utf-8") as f:
+        fast = packing.WordTokenizer(f.read(), {})
+    # every entry of the vocabulary is encoded as itself, by both libraries
+    byte = packing._byte_of_character()
+    entries = {}
+    for t, i in tok.get_vocab().items():
+        try:
+            w = bytes(map(byte.__getitem__, t.removesuffix("</w>"))).decode()
+        except (KeyError, UnicodeDecodeError):
+            continue
+        if t.endswith("</w>") and w == w.lower() and not fast.other.search(w) and fast.parts.findall(w) == [w]:
+            entries[w] = i
+    assert len(entries) > 30_000
+    fast.learn([w.encode() for w in entries])
+    assert all(fast.cache[w.encode()] == np.array([i], "<u4").tobytes() for w, i in entries.items())
+    words = ["don't", "İstanbul", "ŉ", "x\x1cy", "'s's", "--'s", "<|endoftext|>x", "ÀÉ", "ß123", "\xadfoo", "ΑΣ", "aaaaaaa",
+             "e\u0301", "\u00a0x", *(w + "?!x9" for w in list(entries)[::50])]
+    fast.learn([w.encode() for w in words])
+    for w in words:
+        assert fast.cache[w.encode()] == np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), w
+    fast.learn([])
+
+
 def test_two_fit_replaces_the_smallest():
     counts = np.zeros(11, np.int64)
     counts[[6, 3, 2]] = 1, 1, 2
