@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -9,13 +10,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsframe.session import written_table
 
 #: Text characters that Python code works on at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def fresh(name: str, df: DataFrame) -> str:
@@ -26,11 +27,18 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
+def text_key(text: str = "text") -> Column:
+    """With the id (null or not), what a row's verdict is told by."""
+    return F.xxhash64(F.col(text).cast("string"))
+
+
 def without(docs: DataFrame, bad: DataFrame, name: str) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in the only column of ``bad``."""
-    bad_id = fresh("bad_id", docs)
-    bad = written_table(bad.distinct().toDF(bad_id), name)
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col(bad_id), "left_anti")
+    """The rows of ``docs`` whose doc_id and text_key are not those of a row of
+    ``bad`` (doc_id, key). A null id equals a null id."""
+    n_id, n_key = fresh("bad_id", docs), fresh("bad_key", docs)
+    bad = written_table(bad.select("doc_id", "key").distinct().toDF(n_id, n_key), name)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(n_id)) & (text_key() == F.col(n_key))
+    return docs.join(bad, same, "left_anti")
 
 
 def worker_cache(name: str) -> dict:
@@ -42,13 +50,22 @@ def worker_cache(name: str) -> dict:
     if others := caches.keys() - {name}:
         for other in others:
             caches.pop(other).clear()
-        pa.default_memory_pool().release_unused()   # what the earlier stage's batches held
+        release_memory()
     return caches.setdefault(name, {})
 
 
+def release_memory() -> None:
+    """Give back to the system what a task's batches and strings held: workers
+    are used again, and each would keep the most that any stage took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):     # where the C library has it
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     """Parts of the batches with bounded text, and their texts (None for null). A
-    batch is cut by its texts' lengths before any of them becomes a Python string."""
+    batch is cut by its texts' lengths before any of them becomes a Python string.
+    Free memory goes back to the system after each batch."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         start = 0
@@ -58,3 +75,5 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             part = batch.slice(start, stop - start)
             yield part, part.column(text).to_pylist()
             start = stop
+        del batch
+        release_memory()

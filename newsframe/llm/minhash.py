@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsframe.llm.common import chunks, without, worker_cache
+from newsframe.llm.common import chunks, fresh, text_key, worker_cache
 from newsframe.session import written_table
 
 SHINGLE_WORDS = 5
@@ -314,6 +314,32 @@ def _same_id(classes: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, num: int = THRESHOLD[0], den: int = THRESHOLD[1]) -> DataFrame:
-    """The rows of ``docs`` whose document is kept: one of each group."""
-    gone = near_duplicates(docs, num, den).where("NOT kept").select("doc_id")
-    return without(docs, gone, "minhash-gone")
+    """The rows of ``docs`` whose document is kept: one of each group, that with
+    the smallest id. Rows that repeat both id and text are one document, and one of
+    them stays. Rows of a null id, and those of a repeated id but for one of its
+    texts, are documents of their own, after all others in order."""
+    own = fresh("own", docs)
+    named = identified(docs, own)
+    gone = near_duplicates(named.select(F.col(own).alias("doc_id"), "text"), num, den).where("NOT kept")
+    gone = written_table(gone.select(F.col("doc_id").alias(own)).distinct(), "minhash-gone")
+    return named.join(gone, own, "left_anti").select(*docs.columns)
+
+
+def identified(docs: DataFrame, own: str) -> DataFrame:
+    """The distinct rows by id and text, with an id of their own in column ``own``:
+    the doc_id, where it has a single text, else made from id and text. Only rows
+    of null and repeated ids are exchanged."""
+    n_key, n_id = fresh("text_key", docs), fresh("many_id", docs)
+    long_id = F.col("doc_id").cast("long")
+    many = docs.groupBy(long_id.alias(n_id)).count().where(f"`count` > 1 AND `{n_id}` IS NOT NULL").select(n_id)
+    many = written_table(many, "minhash-many")
+    named, null = docs.where(long_id.isNotNull()), docs.where(long_id.isNull())
+    single, again = (named.join(many, long_id == F.col(n_id), how).withColumn(own, long_id)
+                     for how in ("left_anti", "left_semi"))
+    odd = again.unionByName(null.withColumn(own, long_id)).withColumn(n_key, text_key())
+    odd = written_table(odd.dropDuplicates([own, n_key]), "minhash-again")
+    first = odd.where(F.col(own).isNotNull()).groupBy(F.col(own).alias(n_id)).agg(F.min(n_key).alias(fresh("first", odd)))
+    odd = odd.join(first, (F.col(own) == F.col(n_id)) & (F.col(n_key) == F.col(fresh("first", odd))), "left")
+    made = F.shiftrightunsigned(F.xxhash64(own, n_key), 2).bitwiseOR(F.lit(1 << 62))     # above the usual ids
+    odd = odd.withColumn(own, F.coalesce(n_id, made))
+    return single.unionByName(odd.select(*docs.columns, own))

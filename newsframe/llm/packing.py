@@ -33,7 +33,7 @@ from newsframe.session import written_table
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 400_000       # words with known ids that a worker keeps
+CACHE_WORDS = 250_000       # words with known ids that a worker keeps
 WORD_END = "</w>"           # ends a vocabulary entry that ends a word
 RANK_BLOCK = 100_000        # pieces ranked in one block, on average
 

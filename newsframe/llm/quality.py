@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsframe.llm.common import chunks, without
+from newsframe.llm.common import chunks, text_key, without
 from newsframe.session import written_table
 
 MIN_WORDS = 50
@@ -111,7 +111,7 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
-                       F.col("text").cast("string").alias("text"))
+                       F.col("text").cast("string").alias("text"), text_key().alias("key"))
 
 
 def common_words(docs: DataFrame, share: float = SHARE) -> dict[str | None, list[bytes]]:
@@ -165,22 +165,22 @@ def features(docs: DataFrame, common: dict[str, list[bytes]]) -> DataFrame:
         wanted = _places(common)
         for part, texts in chunks(batches):
             out = []
-            for doc, lang, text in zip(part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), texts,
-                                       strict=True):
+            for doc, key, lang, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "key", "lang")), texts,
+                                            strict=True):
                 text = text or ""
                 words = text.encode().split()
                 base = base_counts(text, words)
                 count = Counter(filter(wanted.__contains__, text.encode().lower().split()))
-                out.append((doc, lang, *base, _class_counts(text, table),
+                out.append((doc, key, lang, *base, _class_counts(text, table),
                             [wanted[w] for w in count], list(count.values())))
             cols = list(zip(*out, strict=True))
-            types = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int32()),
+            types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int32()),
                      pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                             names=["doc_id", "lang", "n_words", "word_chars", "n_symbols",
+                                             names=["doc_id", "key", "lang", "n_words", "word_chars", "n_symbols",
                                                     "n_dup_lines", "n_repeat_words", "classes", "at", "words"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, "
+    return _rows(docs).mapInArrow(run, "doc_id long, key long, lang string, n_words long, word_chars long, n_symbols long, "
                                        "n_dup_lines long, n_repeat_words long, classes array<long>, "
                                        "at array<int>, words array<long>")
 
@@ -236,8 +236,8 @@ def references(feats: DataFrame, common: dict[str, list[bytes]], share: float =
 
 
 def quality(docs: DataFrame, class_limit: tuple = CLASS_LIMIT, word_limit: tuple = WORD_LIMIT) -> DataFrame:
-    """(doc_id, base counts, base_failed, class_distance, word_distance, kept)
-    per row of ``docs``."""
+    """(doc_id, base counts, base_failed, class_distance, word_distance, kept,
+    key) per row of ``docs``; key is the text's hash."""
     if "lang" not in docs.columns:
         docs = docs.withColumn("lang", F.lit(None).cast("string"))
     common = common_words(docs)
@@ -271,15 +271,16 @@ def quality(docs: DataFrame, class_limit: tuple = CLASS_LIMIT, word_limit: tuple
             bad = np.array(b.column("base_failed").to_pylist(), bool)
             kept = ~bad & (best <= most).all(0)
             names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), *map(pa.array, (*best, kept))],
-                                             names=[*names, "class_distance", "word_distance", "kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), *map(pa.array, (*best, kept)), b.column("key")],
+                                             names=[*names, "class_distance", "word_distance", "kept", "key"])
 
     return feats.mapInArrow(judge, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
                                    "n_repeat_words long, base_failed boolean, class_distance double, "
-                                   "word_distance double, kept boolean")
+                                   "word_distance double, kept boolean, key long")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep (a rejected id goes with all
-    its rows; rows without an id have no verdict to join and stay)."""
-    return without(docs, quality(docs).where("NOT kept").select("doc_id"), "quality-bad")
+    """The rows of ``docs`` that the rules keep, null and repeated ids included:
+    a row's verdict goes by its id and text (of rows that repeat both, in
+    several languages, all go if one is rejected)."""
+    return without(docs, quality(docs).where("NOT kept"), "quality-bad")
