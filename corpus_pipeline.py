@@ -8,8 +8,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
 kept; its result is written as Parquet and read again. All but the last keep
-the columns of ``documents``. Null ids, null and empty texts, repeated rows
-and empty tables are treated as each operator's docstring says.
+the columns of ``documents``. A verdict goes by a row's id and text, so rows of
+null and repeated ids are judged one by one; of rows that repeat both, the near
+duplicates leave one. Null and empty texts and empty tables are treated as each
+operator's docstring says.
 """
 
 from __future__ import annotations
