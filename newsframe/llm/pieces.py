@@ -1,23 +1,26 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and decoding (operator 3).
 
 Encoding works off an agenda of adjacent pairs, best score first. With
-dropout, a pair on the agenda is skipped if a hash keyed by seed, variant,
-word and the pair's bounds falls under the dropout rate, so the same seed
-gives the same segmentation anywhere. Each document draws one of ``VARIANTS``
-variants by a hash of seed and id: segmentations vary between documents and
-seeds, and stay cacheable. Without dropout the ids are those of the library.
-
-Pieces never reach from one word into the next, so each distinct word is
-worked out once per worker. New words of a chunk are merged together: their
-agendas are the rows of a matrix, and every step merges each row's best pair.
+dropout, the t-th pair that a word's agenda yields is skipped if a hash keyed by
+seed, document id, the word's place in the document and t falls under the
+dropout rate. So the same seed gives the same segmentation anywhere, and every
+occurrence of a word draws its own. Without dropout the ids are those of the
+library.
+
+Pieces never reach from one word into the next, so a word's segmentation is
+settled by the word and the steps at which it skips. A word of n characters
+merges n - 1 times at most: only the steps up to its (n - 1)-th merge count.
+Each worker keeps what it has worked out by word and steps; new ones of a chunk
+are merged together: their agendas are the rows of a matrix, and every step
+takes each row's best pair.
 
 Decoding joins the pieces' bytes. It is lossless for every text: characters
 without a piece are byte pieces, and so is a literal U+2581, which would
 otherwise be read as a space.
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
-rows that repeat an id are encoded one by one; a null id counts as 0 in the
-key; an empty table gives an empty result. Extra columns are ignored.
+rows that repeat an id are encoded one by one, with the same key; a null id
+counts as 0 in the key; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +38,9 @@ from pyspark.sql import functions as F
 from newsframe.llm.common import chunks, worker_cache
 
 SPACE = "▁"
-VARIANTS = 2
-CACHE_WORDS = 600_000
-WIDTHS = (8, 16, 32, 64)    # agenda matrices by word length; longer words one by one
+GENERATION = 250_000    # segmentations a worker keeps: those of this generation, and of the last one till used again
+STEPS = 63              # steps told apart in a kept segmentation's key; of words that take more, none is kept
+WIDTHS = (4, 6, 8, 11, 16, 32, 64)    # agenda matrices by word length; longer words one by one
 _M = (1 << 64) - 1
 NONE = np.int32(2 ** 31 - 1)
 _K = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9)
@@ -63,7 +66,6 @@ class Encoder:
         self.scores, self.ids, self.bytes = model["scores"], model["ids"], model["bytes"]
         self.seed, self.limit = seed, int(dropout * 2 ** 32)
         self.cache = {} if cache is None else cache
-        self.variants = VARIANTS if dropout > 0 else 1
         # symbols: pieces by id, then the characters that occur in pieces only
         symbols = {p: self.ids[p] for p in self.scores}
         for p in self.scores:
@@ -82,12 +84,38 @@ class Encoder:
         distinct, rank = np.unique(cost, return_inverse=True)  # equal scores share a rank: leftmost first
         self.pair_key, self.pair_rank, self.pair_id = keys[order], rank[order].astype(np.int32), into[order]
 
-    def _key(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(word.encode(), (self.seed * VARIANTS + variant) & _M) if self.limit else 0
-
-    def merge(self, word: str, variant: int) -> list[int]:
+    def _skips(self, key: np.ndarray, step: int) -> np.ndarray:
+        """Whether the pair that the agendas with these keys yield at a step is skipped."""
+        h = key + np.uint64((step + 1) * _K[0] & _M)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(_K[3])
+        return ((h ^ (h >> np.uint64(29))) >> np.uint64(32)) < np.uint64(self.limit)
+
+    def keys(self, docs: list[int], counts: np.ndarray) -> np.ndarray:
+        """One key per word of documents with so many words each."""
+        doc = np.array([xxhash.xxh64_intdigest(str(d), self.seed & _M) for d in docs], np.uint64)
+        place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        h = np.repeat(doc, counts) + place.astype(np.uint64) * np.uint64(_K[1])
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(_K[2])
+        return h ^ (h >> np.uint64(29))
+
+    def steps(self, key: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The steps (as bits) at which words of so many characters skip, and
+        which words may take more than STEPS steps."""
+        skipped, more = np.zeros(len(key), np.uint64), np.zeros(len(key), bool)
+        rows = np.flatnonzero(size > 1)
+        key, merges = key[rows], size[rows] - 1
+        for step in range(STEPS):
+            skip = self._skips(key, step)
+            skipped[rows[skip]] |= np.uint64(1 << step)
+            merges = merges - ~skip
+            live = merges > 0
+            rows, key, merges = rows[live], key[live], merges[live]
+        more[rows] = True
+        return skipped, more
+
+    def merge(self, word: str, key: int = 0) -> list[int]:
         """Ids of one word by a heap as agenda."""
-        n, scores, limit, key = len(word), self.scores, self.limit, self._key(word, variant)
+        n, scores, limit, step = len(word), self.scores, self.limit, 0
         # symbols are spans [i, end[i]); start[e] is the symbol that ends at e
         end, start, agenda = list(range(1, n + 1)), list(range(-1, n)), []
 
@@ -102,8 +130,10 @@ class Encoder:
             if end[a] != b or end[b] != e:
                 continue  # one side has been merged since
             if limit:
-                h = (key ^ (a * _K[0] + b * _K[1] + e * _K[2])) & _M
-                if ((h ^ (h >> 31)) * _K[3] & _M) >> 32 < limit:
+                step += 1
+                h = key + step * _K[0] & _M
+                h = (h ^ (h >> 31)) * _K[3] & _M
+                if (h ^ (h >> 29)) >> 32 < limit:
                     continue
             end[a], end[b], start[e] = e, 0, a
             if a > 0:
@@ -119,82 +149,84 @@ class Encoder:
     def _ids(self, symbol: str) -> list[int]:
         return [self.ids[symbol]] if symbol in self.scores else [self.bytes[x] for x in symbol.encode()]
 
-    def _pairs(self, left, right, a, b, e, key):
-        """Rank (NONE for no merge) and merged id of pairs of symbols with bounds a, b, e."""
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of pairs of symbols, NONE for those that do not merge."""
         k = left.astype(np.int64) * self.base + right
         at = np.minimum(np.searchsorted(self.pair_key, k), len(self.pair_key) - 1)
-        ok = (self.pair_key[at] == k) & (left >= 0) & (right >= 0)
-        if self.limit:
-            a, b, e = (x.astype(np.uint64) for x in (a, b, e))
-            h = key ^ (a * np.uint64(_K[0]) + b * np.uint64(_K[1]) + e * np.uint64(_K[2]))
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(_K[3])
-            ok &= (h >> np.uint64(32)) >= np.uint64(self.limit)
-        return np.where(ok, self.pair_rank[at], NONE)
+        return np.where((self.pair_key[at] == k) & (left >= 0) & (right >= 0), self.pair_rank[at], NONE)
 
     def _merge_rows(self, sym: np.ndarray, n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and their starts after all merges; one word of n symbols per
-        row, padded with -2. Every step takes one symbol from each live row."""
+        row, padded with -2. Every step takes one pair off each live row's agenda."""
         total, width = sym.shape
         out, out_start = np.full_like(sym, -2), np.zeros(sym.shape, np.int16)
-        # start has one column more: what follows the last symbol starts at n
-        start = np.minimum(np.arange(width + 1), n[:, None]).astype(np.int16)
-        rank = self._pairs(sym[:, :-1], sym[:, 1:], start[:, :-2], start[:, 1:-1], start[:, 2:], key[:, None])
-        row = np.arange(total)
+        start = np.minimum(np.arange(width), n[:, None]).astype(np.int16)
+        rank = self._pairs(sym[:, :-1], sym[:, 1:])
+        row, step = np.arange(total), 0
         while True:
             best = rank.argmin(1)
             live = rank[np.arange(len(row)), best] != NONE
             if not live.all():
                 done, w = row[~live], sym.shape[1]
-                out[done, :w], out_start[done, :w] = sym[~live], start[~live, :w]
-                row, key, best, sym, start, rank = (x[live] for x in (row, key, best, sym, start, rank))
-            m, w = sym.shape
-            if not m:
+                out[done, :w], out_start[done, :w] = sym[~live], start[~live]
+                row, key, n, best, sym, start, rank = (x[live] for x in (row, key, n, best, sym, start, rank))
+            if not len(row):
                 return out, out_start
-            r = np.arange(m)
-            left, right = sym[r, best], sym[r, best + 1]
-            at = np.searchsorted(self.pair_key, left.astype(np.int64) * self.base + right)
-            sym[r, best] = self.pair_id[at]
-            keep = np.ones((m, w + 1), bool)
-            keep[r, best + 1] = False
-            sym, start = sym[keep[:, :w]].reshape(m, w - 1), start[keep].reshape(m, w)
-            if w == 2:
-                rank = np.full((m, 1), NONE, np.int32)
+            merged = np.arange(len(row))
+            if self.limit:
+                skip = self._skips(key, step)
+                rank[merged[skip], best[skip]] = NONE
+                merged = merged[~skip]
+            step += 1
+            if not len(merged):
                 continue
+            best, m, w = best[merged], len(merged), sym.shape[1]
+            left, right = sym[merged, best], sym[merged, best + 1]
+            at = np.searchsorted(self.pair_key, left.astype(np.int64) * self.base + right)
+            sym[merged, best] = self.pair_id[at]
+            keep = np.ones((m, w), bool)
+            keep[np.arange(m), best + 1] = False
+            for x in (sym, start):
+                x[merged, :-1] = x[merged][keep].reshape(m, w - 1)
+            sym[merged, -1] = -2
             keep = np.ones((m, w - 1), bool)
-            keep[r, best] = False
-            rank = rank[keep].reshape(m, w - 2)
-            for j, rows in ((best - 1, np.flatnonzero(best > 0)), (best, np.flatnonzero(best < w - 2))):
-                j = j[rows]
-                rank[rows, j] = self._pairs(sym[rows, j], sym[rows, j + 1], start[rows, j], start[rows, j + 1],
-                                            start[rows, j + 2], key[rows])
-
-    def learn(self, words: set[str], variant: int) -> None:
-        """Put the ids (signed 32-bit) of new words into the variant's cache."""
-        known, by_width = self.cache.setdefault(variant, {}), [[] for _ in WIDTHS]
-        known[LITERAL] = np.array([self.bytes[x] for x in SPACE.encode()], "<i4").tobytes()
-        for word, slot in zip(words, np.searchsorted(WIDTHS, [*map(len, words)]).tolist(), strict=True):
+            keep[np.arange(m), best] = False
+            rank[merged, :-1] = rank[merged][keep].reshape(m, w - 2)
+            rank[merged, -1] = NONE
+            n[merged] -= 1
+            for j, rows in ((best - 1, best > 0), (best, best < w - 2)):
+                j, rows = j[rows], merged[rows]
+                rank[rows, j] = self._pairs(sym[rows, j], sym[rows, j + 1])
+            if (w := max(int(n.max()), 2)) < sym.shape[1]:
+                sym, start, rank = sym[:, :w].copy(), start[:, :w].copy(), rank[:, :w - 1].copy()
+
+    def learn(self, names: list, words: list[str], keys: np.ndarray) -> dict:
+        """The ids (signed 32-bit) of words with keys, by name."""
+        out, by_width = {}, [[] for _ in WIDTHS]
+        for i, slot in enumerate(np.searchsorted(WIDTHS, [*map(len, words)]).tolist()):
             if slot < len(WIDTHS):
-                by_width[slot].append(word)
+                by_width[slot].append(i)
             else:
-                known[word] = np.array(self.merge(word, variant), "<i4").tobytes()
-        for width, rows in zip(WIDTHS, by_width, strict=True):
-            if not rows:
+                out[names[i]] = np.array(self.merge(words[i], int(keys[i])), "<i4").tobytes()
+        for width, at in zip(WIDTHS, by_width, strict=True):
+            if not at:
                 continue
+            rows, named = [words[i] for i in at], [names[i] for i in at]
             n = np.fromiter(map(len, rows), np.int64, len(rows))
             filled = np.arange(width) < n[:, None]
             sym = np.full((len(rows), width), -2, np.int32)
             sym[filled] = self.code[np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)]
-            key = np.fromiter((self._key(w, variant) for w in rows), np.uint64, len(rows))
-            sym, start = self._merge_rows(sym, n, key)
+            sym, start = self._merge_rows(sym, n, keys[at])
             some = sym != -2
             plain = ((sym == -2) | (sym >= 0) & (sym < len(self.ids))).all(1)
             flat = sym[some].astype("<i4").tobytes()
             ends = np.cumsum(some.sum(1) * 4)
             starts = [0, *ends[:-1].tolist()]
-            known.update(zip(rows, (flat[a:b] for a, b in zip(starts, ends.tolist(), strict=True)), strict=True))
+            out.update(zip(named, (flat[a:b] for a, b in zip(starts, ends.tolist(), strict=True)), strict=True))
             for i in np.flatnonzero(~plain).tolist():  # characters without a piece become bytes
                 word, cut = rows[i], [*start[i][some[i]].tolist(), len(rows[i])]
-                known[word] = np.array([x for a, b in pairwise(cut) for x in self._ids(word[a:b])], "<i4").tobytes()
+                out[named[i]] = np.array([x for a, b in pairwise(cut) for x in self._ids(word[a:b])], "<i4").tobytes()
+        return out
 
     def words(self, text: str | None) -> list[str]:
         """A text's words; each takes the spaces before it."""
@@ -222,25 +254,39 @@ class Encoder:
             units = joined + [run] * bool(run)
         return units
 
-    def variant(self, doc: int) -> int:
-        return xxhash.xxh64_intdigest(str(doc), self.seed & _M) % self.variants
-
     def encode_many(self, texts: list[str | None], docs: list[int]) -> list[bytes]:
         """Ids (signed 32-bit) per text."""
-        words = [*map(self.words, texts)]
-        variants = [*map(self.variant, docs)]
-        if sum(map(len, self.cache.values())) > CACHE_WORDS:
-            self.cache.clear()
-        for v in set(variants):
-            known = self.cache.setdefault(v, {})
-            new = set()
-            for mine, w in zip(variants, words, strict=True):
-                if mine == v:
-                    new.update(w)
-            new.difference_update(known)
-            new.discard(LITERAL)
-            self.learn(new, v)
-        return [b"".join(map(self.cache[v].__getitem__, w)) for v, w in zip(variants, words, strict=True)]
+        by_doc = [*map(self.words, texts)]
+        counts = np.fromiter(map(len, by_doc), np.int64, len(by_doc))
+        words = [w for ws in by_doc for w in ws]
+        names, keys, once = words, np.zeros(len(words), np.uint64), []
+        if self.limit:
+            names, keys = words.copy(), self.keys(docs, counts)
+            skipped, more = self.steps(keys, np.fromiter(map(len, words), np.int64, len(words)))
+            at = np.flatnonzero((skipped > 0) & ~more)
+            for i, bits in zip(at.tolist(), skipped[at].tolist(), strict=True):
+                names[i] = f"{words[i]} {bits}"  # a word holds no plain space
+            for i in np.flatnonzero(more).tolist():  # by key: these are not kept
+                names[i] = f"{words[i]} -{keys[i]}"
+                once.append(names[i])
+        known, last = self.cache.setdefault("now", {}), self.cache.setdefault("last", {})
+        if len(known) > GENERATION:
+            self.cache["last"], self.cache["now"] = last, known = known, {}
+        known[LITERAL] = np.array([self.bytes[x] for x in SPACE.encode()], "<i4").tobytes()
+        place = dict(zip(names, range(len(names)), strict=True))
+        new = []
+        for name in set(place).difference(known):
+            if (ids := last.get(name)) is None:
+                new.append(name)
+            else:
+                known[name] = ids
+        at = [place[x] for x in new]
+        known.update(self.learn(new, [words[i] for i in at], keys[at]))
+        ends = np.cumsum(counts).tolist()
+        out = [b"".join(map(known.__getitem__, names[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for name in once:
+            known.pop(name, None)
+        return out
 
 
 class Decoder:

@@ -164,10 +164,54 @@ def test_pieces_match_the_library_and_round_trip(spark):
 
 def test_agenda_matrix_equals_heap():
     m = pieces.read_model(PIECES)
-    e = pieces.Encoder(m, 11, 0.3)
-    words = {"▁the", "▁▁▁x", "é̈ß漢", "a", "▁abcdefghijklmnopqrstuvwxyz", "1234567890" * 5}
-    e.learn(words, 1)
-    assert all(e.cache[1][w] == np.array(e.merge(w, 1), "<i4").tobytes() for w in words)
+    words = ["▁the", "▁▁▁x", "é̈ß漢", "a", "▁abcdefghijklmnopqrstuvwxyz", "1234567890" * 5, "▁segmentation", "x" * 90]
+    for dropout in (0.0, 0.1, 0.3, 0.9):
+        e = pieces.Encoder(m, 11, dropout)
+        many = words * 40
+        keys = e.keys([5], np.array([len(many)]))
+        got = e.learn([*range(len(many))], many, keys)
+        want = [np.array(e.merge(w, int(k)), "<i4").tobytes() for w, k in zip(many, keys, strict=True)]
+        assert [got[i] for i in range(len(many))] == want
+        # words met again are taken from the cache by their steps: as if each were merged anew
+        text = " ".join(w.strip("▁") for w in many)
+        for _ in range(2):
+            ws = e.words(text)
+            anew = b"".join(np.array(e.merge(w, int(k)), "<i4").tobytes() for w, k in zip(ws, e.keys([5], np.array([len(ws)])), strict=True))
+            assert e.encode_many([text], [5]) == [anew]
+
+
+def test_every_occurrence_draws_its_own_cuts(spark):
+    word = "internationalization"
+    m = pieces.read_model(PIECES)
+    e, back = pieces.Encoder(m, 3, 0.1), pieces.Decoder(m)
+    n = len(e.words(word * 1))
+    cuts = set()
+    for doc in range(4):
+        ids = np.frombuffer(e.encode_many([" ".join([word] * 200)], [doc])[0], "<i4").tolist()
+        assert back.decode(ids) == " ".join([word] * 200)
+        mark, cut = [], []
+        for i in ids:  # a word's pieces begin where a piece begins with the space
+            if m["pieces"][i].startswith("▁") and cut:
+                mark.append(tuple(cut))
+                cut = []
+            cut.append(i)
+        cuts.update([*mark, tuple(cut)])
+    assert n == 1 and len(cuts) > 20
+    # the share of documents' words left whole is that of words no merge of which is skipped
+    plain = np.frombuffer(pieces.Encoder(m).encode_many([word], [0])[0], "<i4").tolist()
+    assert tuple(plain) in cuts
+
+
+def test_pieces_defined_cases(spark):
+    rows = [(None, "same text here"), (None, "same text here"), (0, "same text here"), (7, "w" * 5000 + " long word"),
+            (7, "another text"), (8, "the " * 20000), (9, None), (10, "")]
+    d = frame(spark, rows).selectExpr("*", "1 AS ids", "'x' AS lossless", "2 AS n_ids")
+    got = pieces.round_trip(d, PIECES, 1, 0.2)
+    assert got.columns == ["doc_id", "n_ids", "ids", "lossless"] and got.count() == len(rows)
+    assert got.where("NOT lossless").count() == 0
+    assert len({tuple(r["ids"]) for r in got.where("doc_id IS NULL OR doc_id = 0").collect()}) == 1  # a null id counts as 0
+    assert got.where("doc_id > 8 AND n_ids = 0").count() == 2
+    assert pieces.round_trip(d.limit(0), PIECES, 1, 0.2).count() == 0
 
 
 # ------------------------------------------------------------ 4: layout
