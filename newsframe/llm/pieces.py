@@ -10,9 +10,11 @@ library.
 Pieces never reach from one word into the next, so a word's segmentation is
 settled by the word and the steps at which it skips. A word of n characters
 merges n - 1 times at most: only the steps up to its (n - 1)-th merge count.
-Each worker keeps what it has worked out by word and steps; new ones of a chunk
-are merged together: their agendas are the rows of a matrix, and every step
-takes each row's best pair.
+Words of a chunk that agree in both are merged once, and each worker keeps the
+segmentations without skips. All are merged together: their agendas are the rows
+of a matrix, and every step
+takes each row's best pair. Segmentations are ranges of one array of ids, and a
+chunk's ids are gathered from it at once.
 
 Decoding joins the pieces' bytes. It is lossless for every text: characters
 without a piece are byte pieces, and so is a literal U+2581, which would
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from newsframe.llm.common import chunks, worker_cache
 
 SPACE = "▁"
-GENERATION = 250_000    # segmentations a worker keeps: those of this generation, and of the last one till used again
-STEPS = 63              # steps told apart in a kept segmentation's key; of words that take more, none is kept
+CACHE_WORDS = 400_000   # undropped segmentations that a worker keeps
+STEPS = 63              # steps whose skips are told apart; words that may take more are merged one by one
 WIDTHS = (4, 6, 8, 11, 16, 32, 64)    # agenda matrices by word length; longer words one by one
 _M = (1 << 64) - 1
 NONE = np.int32(2 ** 31 - 1)
@@ -66,6 +68,7 @@ class Encoder:
         self.scores, self.ids, self.bytes = model["scores"], model["ids"], model["bytes"]
         self.seed, self.limit = seed, int(dropout * 2 ** 32)
         self.cache = {} if cache is None else cache
+        self.byte_id = np.array(self.bytes, np.int32)
         # symbols: pieces by id, then the characters that occur in pieces only
         symbols = {p: self.ids[p] for p in self.scores}
         for p in self.scores:
@@ -113,9 +116,9 @@ class Encoder:
         more[rows] = True
         return skipped, more
 
-    def merge(self, word: str, key: int = 0) -> list[int]:
-        """Ids of one word by a heap as agenda."""
-        n, scores, limit, step = len(word), self.scores, self.limit, 0
+    def merge(self, word: str, key: int | None = None) -> list[int]:
+        """Ids of one word by a heap as agenda; without a key none is skipped."""
+        n, scores, step = len(word), self.scores, 0
         # symbols are spans [i, end[i]); start[e] is the symbol that ends at e
         end, start, agenda = list(range(1, n + 1)), list(range(-1, n)), []
 
@@ -129,11 +132,11 @@ class Encoder:
             _, a, b, e = heapq.heappop(agenda)
             if end[a] != b or end[b] != e:
                 continue  # one side has been merged since
-            if limit:
+            if key is not None:
                 step += 1
                 h = key + step * _K[0] & _M
                 h = (h ^ (h >> 31)) * _K[3] & _M
-                if (h ^ (h >> 29)) >> 32 < limit:
+                if (h ^ (h >> 29)) >> 32 < self.limit:
                     continue
             end[a], end[b], start[e] = e, 0, a
             if a > 0:
@@ -155,7 +158,7 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.pair_key, k), len(self.pair_key) - 1)
         return np.where((self.pair_key[at] == k) & (left >= 0) & (right >= 0), self.pair_rank[at], NONE)
 
-    def _merge_rows(self, sym: np.ndarray, n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _merge_rows(self, sym: np.ndarray, n: np.ndarray, key: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and their starts after all merges; one word of n symbols per
         row, padded with -2. Every step takes one pair off each live row's agenda."""
         total, width = sym.shape
@@ -169,11 +172,12 @@ class Encoder:
             if not live.all():
                 done, w = row[~live], sym.shape[1]
                 out[done, :w], out_start[done, :w] = sym[~live], start[~live]
-                row, key, n, best, sym, start, rank = (x[live] for x in (row, key, n, best, sym, start, rank))
+                row, n, best, sym, start, rank = (x[live] for x in (row, n, best, sym, start, rank))
+                key = key if key is None else key[live]
             if not len(row):
                 return out, out_start
             merged = np.arange(len(row))
-            if self.limit:
+            if key is not None:
                 skip = self._skips(key, step)
                 rank[merged[skip], best[skip]] = NONE
                 merged = merged[~skip]
@@ -200,33 +204,47 @@ class Encoder:
             if (w := max(int(n.max()), 2)) < sym.shape[1]:
                 sym, start, rank = sym[:, :w].copy(), start[:, :w].copy(), rank[:, :w - 1].copy()
 
-    def learn(self, names: list, words: list[str], keys: np.ndarray) -> dict:
-        """The ids (signed 32-bit) of words with keys, by name."""
-        out, by_width = {}, [[] for _ in WIDTHS]
-        for i, slot in enumerate(np.searchsorted(WIDTHS, [*map(len, words)]).tolist()):
-            if slot < len(WIDTHS):
-                by_width[slot].append(i)
-            else:
-                out[names[i]] = np.array(self.merge(words[i], int(keys[i])), "<i4").tobytes()
-        for width, at in zip(WIDTHS, by_width, strict=True):
-            if not at:
+    def learn(self, words: list[str], keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An array of ids, and the start and number of each word's in it."""
+        flat, first, size = [np.zeros(0, np.int32)], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        slot, total = np.searchsorted(WIDTHS, length), 0
+        for i in np.flatnonzero(slot == len(WIDTHS)).tolist():
+            flat.append(np.array(self.merge(words[i], None if keys is None else int(keys[i])), np.int32))
+            first[i], size[i] = total, len(flat[-1])
+            total += len(flat[-1])
+        for j, width in enumerate(WIDTHS):
+            at = np.flatnonzero(slot == j)
+            if not len(at):
                 continue
-            rows, named = [words[i] for i in at], [names[i] for i in at]
-            n = np.fromiter(map(len, rows), np.int64, len(rows))
+            n = length[at]
             filled = np.arange(width) < n[:, None]
-            sym = np.full((len(rows), width), -2, np.int32)
-            sym[filled] = self.code[np.frombuffer("".join(rows).encode("utf-32-le"), np.uint32)]
-            sym, start = self._merge_rows(sym, n, keys[at])
-            some = sym != -2
-            plain = ((sym == -2) | (sym >= 0) & (sym < len(self.ids))).all(1)
-            flat = sym[some].astype("<i4").tobytes()
-            ends = np.cumsum(some.sum(1) * 4)
-            starts = [0, *ends[:-1].tolist()]
-            out.update(zip(named, (flat[a:b] for a, b in zip(starts, ends.tolist(), strict=True)), strict=True))
-            for i in np.flatnonzero(~plain).tolist():  # characters without a piece become bytes
-                word, cut = rows[i], [*start[i][some[i]].tolist(), len(rows[i])]
-                out[named[i]] = np.array([x for a, b in pairwise(cut) for x in self._ids(word[a:b])], "<i4").tobytes()
-        return out
+            chars = np.zeros((len(at), width), np.uint32)
+            chars[filled] = np.frombuffer("".join([words[i] for i in at.tolist()]).encode("utf-32-le"), np.uint32)
+            sym = np.where(filled, self.code[chars], np.int32(-2))
+            ids, size[at] = self._flat(*self._merge_rows(sym, n, None if keys is None else keys[at]), chars)
+            flat.append(ids)
+            first[at] = total + np.cumsum(size[at]) - size[at]
+            total += len(ids)
+        return np.concatenate(flat), first, size
+
+    def _flat(self, sym: np.ndarray, start: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' ids in one array, and their number by row. Characters without a piece become bytes."""
+        some = sym != -2
+        ids, size = sym[some], some.sum(1)
+        odd = (ids < 0) | (ids >= len(self.ids))
+        if not odd.any():
+            return ids, size
+        point = np.where(odd, chars[np.nonzero(some)[0], start[some]], 0).astype(np.int64)
+        n = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+        each = np.zeros(sym.shape, np.int64)
+        each[some] = n
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        ids, odd, point, n = (np.repeat(x, n) for x in (ids, odd, point, n))
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[n]
+        byte = np.where(nth == 0, lead, 0x80) | np.where((nth == 0) | (n == 1), point >> 6 * (n - 1), point >> 6 * (n - 1 - nth) & 0x3F)
+        ids[odd] = self.byte_id[byte[odd]]
+        return ids, each.sum(1)
 
     def words(self, text: str | None) -> list[str]:
         """A text's words; each takes the spaces before it."""
@@ -254,50 +272,77 @@ class Encoder:
             units = joined + [run] * bool(run)
         return units
 
-    def encode_many(self, texts: list[str | None], docs: list[int]) -> list[bytes]:
-        """Ids (signed 32-bit) per text."""
+    def _plain(self, words: list[str]) -> np.ndarray:
+        """Places of the undropped segmentations of distinct words in the worker's store."""
+        if len(self.cache.get("places", ())) > CACHE_WORDS:
+            self.cache.clear()
+        if not self.cache:
+            literal = self.byte_id[list(SPACE.encode())]
+            self.cache.update(places={LITERAL: 0}, flat=literal, first=np.zeros(1, np.int64), size=np.array([len(literal)]))
+        places = self.cache["places"]
+        new = [w for w in words if w not in places]
+        flat, first, size = self.learn(new, None)
+        places.update(zip(new, range(len(places), len(places) + len(new)), strict=True))
+        self._add(self.cache, flat, first, size)
+        return np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+
+    @staticmethod
+    def _add(store: dict, flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
+        first = first + len(store["flat"])
+        for name, x in (("flat", flat), ("first", first), ("size", size)):
+            store[name] = np.concatenate([store[name], x])
+
+    def encode_many(self, texts: list[str | None], docs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's begin and the last's end."""
         by_doc = [*map(self.words, texts)]
         counts = np.fromiter(map(len, by_doc), np.int64, len(by_doc))
         words = [w for ws in by_doc for w in ws]
-        names, keys, once = words, np.zeros(len(words), np.uint64), []
+        distinct = [*dict.fromkeys(words)]
+        number = dict(zip(distinct, range(len(distinct)), strict=True))
+        word = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        skipped, more, keys = np.zeros(len(words), np.uint64), np.zeros(len(words), bool), None
         if self.limit:
-            names, keys = words.copy(), self.keys(docs, counts)
-            skipped, more = self.steps(keys, np.fromiter(map(len, words), np.int64, len(words)))
-            at = np.flatnonzero((skipped > 0) & ~more)
-            for i, bits in zip(at.tolist(), skipped[at].tolist(), strict=True):
-                names[i] = f"{words[i]} {bits}"  # a word holds no plain space
-            for i in np.flatnonzero(more).tolist():  # by key: these are not kept
-                names[i] = f"{words[i]} -{keys[i]}"
-                once.append(names[i])
-        known, last = self.cache.setdefault("now", {}), self.cache.setdefault("last", {})
-        if len(known) > GENERATION:
-            self.cache["last"], self.cache["now"] = last, known = known, {}
-        known[LITERAL] = np.array([self.bytes[x] for x in SPACE.encode()], "<i4").tobytes()
-        place = dict(zip(names, range(len(names)), strict=True))
-        new = []
-        for name in set(place).difference(known):
-            if (ids := last.get(name)) is None:
-                new.append(name)
-            else:
-                known[name] = ids
-        at = [place[x] for x in new]
-        known.update(self.learn(new, [words[i] for i in at], keys[at]))
-        ends = np.cumsum(counts).tolist()
-        out = [b"".join(map(known.__getitem__, names[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        for name in once:
-            known.pop(name, None)
-        return out
+            keys = self.keys(docs, counts)
+            skipped, more = self.steps(keys, np.fromiter(map(len, distinct), np.int64, len(distinct))[word])
+        place = np.zeros(len(words), np.int64)
+        plain = (skipped == 0) & ~more
+        used = np.zeros(len(distinct), bool)
+        used[word[plain]] = True
+        of = np.zeros(len(distinct), np.int64)
+        of[used] = self._plain([distinct[i] for i in np.flatnonzero(used).tolist()])
+        place[plain] = of[word[plain]]
+        store = {k: self.cache[k] for k in ("flat", "first", "size")}
+        some = np.flatnonzero(~plain & ~more)
+        some = some[np.lexsort((skipped[some], word[some]))]  # equal words that skip alike stand together
+        head = np.ones(len(some), bool)
+        head[1:] = (np.diff(word[some]) != 0) | (np.diff(skipped[some]) != 0)
+        for at, which in ((some[head], (some, np.cumsum(head) - 1)), (np.flatnonzero(more), None)):
+            if len(at):
+                rows, nth = which or (at, np.arange(len(at)))
+                place[rows] = len(store["first"]) + nth
+                self._add(store, *self.learn([words[i] for i in at.tolist()], keys[at]))
+        size = store["size"][place]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = store["flat"][np.repeat(store["first"][place] - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
 
 
 class Decoder:
     def __init__(self, model: dict):
         value = {i: bytes([b]) for b, i in enumerate(model["bytes"])}
-        self.table = [b"" if model["special"][i] else value.get(i) or p.replace(SPACE, " ").encode()
-                      for i, p in enumerate(model["pieces"])]
+        table = [b"" if model["special"][i] else value.get(i) or p.replace(SPACE, " ").encode()
+                 for i, p in enumerate(model["pieces"])]
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.size = np.fromiter(map(len, table), np.int64, len(table))
+        self.first = np.cumsum(self.size) - self.size
 
-    def decode(self, ids: list[int]) -> str:
-        out = b"".join(map(self.table.__getitem__, ids)).decode(errors="replace")
-        return out[1:] if out.startswith(" ") else out
+    def decode_many(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of the ids between one end and the next."""
+        size = self.size[ids]
+        at = np.concatenate([[0], np.cumsum(size)])
+        raw = self.flat[np.repeat(self.first[ids] - at[:-1], size) + np.arange(at[-1])].tobytes()
+        cut = at[ends].tolist()
+        return [raw[a + (raw[a:a + 1] == b" " and a < b):b].decode(errors="replace") for a, b in pairwise(cut)]
 
 
 def encode(docs: DataFrame, model_path: str, seed: int = 0, dropout: float = 0.0, id_col: str = "doc_id",
@@ -308,9 +353,8 @@ def encode(docs: DataFrame, model_path: str, seed: int = 0, dropout: float = 0.0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(model, seed, dropout, worker_cache(f"pieces-{model_path}-{seed}-{dropout}"))
         for part, texts in chunks(batches):
-            rows = coder.encode_many(texts, [d or 0 for d in part.column("doc_id").to_pylist()])
-            ends = np.cumsum([0, *(len(r) // 4 for r in rows)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+            ids, ends = coder.encode_many(texts, [d or 0 for d in part.column("doc_id").to_pylist()])
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -324,7 +368,9 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Decoder(model)
         for b in batches:
-            texts = [coder.decode(ids or []) for ids in b.column("ids").to_pylist()]
+            ids = b.column("ids").to_pylist()
+            ends = np.cumsum([0, *(len(x or ()) for x in ids)])
+            texts = coder.decode_many(np.array([i for x in ids for i in x or ()], np.int64), ends)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -339,12 +385,10 @@ def round_trip(docs: DataFrame, model_path: str, seed: int = 0, dropout: float =
         coder = Encoder(model, seed, dropout, worker_cache(f"pieces-{model_path}-{seed}-{dropout}"))
         back = Decoder(model)
         for part, texts in chunks(batches):
-            rows = [np.frombuffer(r, "<i4")
-                    for r in coder.encode_many(texts, [d or 0 for d in part.column("doc_id").to_pylist()])]
-            same = [back.decode(r.tolist()) == (t or "") for r, t in zip(rows, texts, strict=True)]
-            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()), ids,
+            ids, ends = coder.encode_many(texts, [d or 0 for d in part.column("doc_id").to_pylist()])
+            same = [x == (t or "") for x, t in zip(back.decode_many(ids, ends), texts, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(ends), pa.int64()), lists,
                                               pa.array(same)], names=["doc_id", "n_ids", "ids", "lossless"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

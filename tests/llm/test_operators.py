@@ -168,38 +168,39 @@ def test_agenda_matrix_equals_heap():
     for dropout in (0.0, 0.1, 0.3, 0.9):
         e = pieces.Encoder(m, 11, dropout)
         many = words * 40
-        keys = e.keys([5], np.array([len(many)]))
-        got = e.learn([*range(len(many))], many, keys)
-        want = [np.array(e.merge(w, int(k)), "<i4").tobytes() for w, k in zip(many, keys, strict=True)]
-        assert [got[i] for i in range(len(many))] == want
-        # words met again are taken from the cache by their steps: as if each were merged anew
+        keys = e.keys([5], np.array([len(many)])) if dropout else None
+        flat, first, size = e.learn(many, keys)
+        for i, w in enumerate(many):
+            assert flat[first[i]:first[i] + size[i]].tolist() == e.merge(w, int(keys[i]) if dropout else None)
+        # what is kept or merged once for several words is as if each word were merged anew
         text = " ".join(w.strip("▁") for w in many)
+        ws = e.words(text)
+        keys = e.keys([5], np.array([len(ws)])).tolist() if dropout else [None] * len(ws)
+        anew = [i for w, k in zip(ws, keys, strict=True) for i in e.merge(w, k)]
         for _ in range(2):
-            ws = e.words(text)
-            anew = b"".join(np.array(e.merge(w, int(k)), "<i4").tobytes() for w, k in zip(ws, e.keys([5], np.array([len(ws)])), strict=True))
-            assert e.encode_many([text], [5]) == [anew]
+            ids, ends = e.encode_many([None, text, ""], [4, 5, 6])
+            assert ids.tolist() == anew and ends.tolist() == [0, 0, len(anew), len(anew)]
 
 
-def test_every_occurrence_draws_its_own_cuts(spark):
+def test_every_occurrence_draws_its_own_cuts():
     word = "internationalization"
     m = pieces.read_model(PIECES)
     e, back = pieces.Encoder(m, 3, 0.1), pieces.Decoder(m)
-    n = len(e.words(word * 1))
     cuts = set()
-    for doc in range(4):
-        ids = np.frombuffer(e.encode_many([" ".join([word] * 200)], [doc])[0], "<i4").tolist()
-        assert back.decode(ids) == " ".join([word] * 200)
-        mark, cut = [], []
-        for i in ids:  # a word's pieces begin where a piece begins with the space
+    text = " ".join([word] * 200)
+    ids, ends = e.encode_many([text] * 4, [0, 1, 2, 3])
+    assert back.decode_many(ids, ends) == [text] * 4
+    for a, b in itertools.pairwise(ends.tolist()):
+        cut, before = [], len(cuts)
+        for i in ids[a:b].tolist():  # a word's pieces begin where a piece begins with the space
             if m["pieces"][i].startswith("▁") and cut:
-                mark.append(tuple(cut))
+                cuts.add(tuple(cut))
                 cut = []
             cut.append(i)
-        cuts.update([*mark, tuple(cut)])
-    assert n == 1 and len(cuts) > 20
-    # the share of documents' words left whole is that of words no merge of which is skipped
-    plain = np.frombuffer(pieces.Encoder(m).encode_many([word], [0])[0], "<i4").tolist()
-    assert tuple(plain) in cuts
+        cuts.add(tuple(cut))
+        assert len(cuts) > before
+    plain, _ = pieces.Encoder(m).encode_many([word], [0])
+    assert len(cuts) > 20 and tuple(plain.tolist()) in cuts
 
 
 def test_pieces_defined_cases(spark):
