@@ -85,7 +85,16 @@ class Encoder:
         keys, cost, into = (np.array(x) for x in zip(*pairs, strict=True))
         order = np.argsort(keys)
         distinct, rank = np.unique(cost, return_inverse=True)  # equal scores share a rank: leftmost first
-        self.pair_key, self.pair_rank, self.pair_id = keys[order], rank[order].astype(np.int32), into[order]
+        self.pair_key, self.pair_rank, self.pair_id = keys[order], rank[order].astype(np.int32), into[order].astype(np.int32)
+        # where a pair stands, by open addressing; a quarter of the slots is in use at most
+        bits = int(len(keys)).bit_length() + 2
+        self.shift, self.slots = np.uint64(64 - bits), np.full(1 << bits, -1, np.int32)
+        rest, slot = np.arange(len(keys)), self._slot(self.pair_key)
+        while len(rest):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = rest[free]
+            left = self.slots[slot] != rest
+            rest, slot = rest[left], (slot[left] + 1) % len(self.slots)
 
     def _skips(self, key: np.ndarray, step: int) -> np.ndarray:
         """Whether the pair that the agendas with these keys yield at a step is skipped."""
@@ -152,11 +161,26 @@ class Encoder:
     def _ids(self, symbol: str) -> list[int]:
         return [self.ids[symbol]] if symbol in self.scores else [self.bytes[x] for x in symbol.encode()]
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(_K[0]) >> self.shift).astype(np.int64)
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places of the pairs of symbols that merge, -1 for the others."""
+        k = left.astype(np.int64) * self.base + right
+        slot = self._slot(k)
+        at = self.slots[slot]
+        at[(left < 0) | (right < 0)] = -1
+        rest = np.flatnonzero((at >= 0) & (self.pair_key[at] != k))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) % len(self.slots)
+            at[rest] = self.slots[slot[rest]]
+            rest = rest[(at[rest] >= 0) & (self.pair_key[at[rest]] != k[rest])]
+        return at
+
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of pairs of symbols, NONE for those that do not merge."""
-        k = left.astype(np.int64) * self.base + right
-        at = np.minimum(np.searchsorted(self.pair_key, k), len(self.pair_key) - 1)
-        return np.where((self.pair_key[at] == k) & (left >= 0) & (right >= 0), self.pair_rank[at], NONE)
+        at = self._find(left.ravel(), right.ravel())
+        return np.where(at >= 0, self.pair_rank[at], NONE).reshape(left.shape)
 
     def _merge_rows(self, sym: np.ndarray, n: np.ndarray, key: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Symbols and their starts after all merges; one word of n symbols per
@@ -169,25 +193,23 @@ class Encoder:
         while True:
             best = rank.argmin(1)
             live = rank[np.arange(len(row)), best] != NONE
-            if not live.all():
+            if np.count_nonzero(live) < 0.75 * len(row):  # settled rows go, many at a time
                 done, w = row[~live], sym.shape[1]
                 out[done, :w], out_start[done, :w] = sym[~live], start[~live]
                 row, n, best, sym, start, rank = (x[live] for x in (row, n, best, sym, start, rank))
-                key = key if key is None else key[live]
+                key, live = key if key is None else key[live], live[live]
             if not len(row):
                 return out, out_start
-            merged = np.arange(len(row))
+            merged = np.flatnonzero(live)
             if key is not None:
-                skip = self._skips(key, step)
-                rank[merged[skip], best[skip]] = NONE
+                skip = self._skips(key[merged], step)
+                rank[merged[skip], best[merged[skip]]] = NONE
                 merged = merged[~skip]
             step += 1
             if not len(merged):
                 continue
             best, m, w = best[merged], len(merged), sym.shape[1]
-            left, right = sym[merged, best], sym[merged, best + 1]
-            at = np.searchsorted(self.pair_key, left.astype(np.int64) * self.base + right)
-            sym[merged, best] = self.pair_id[at]
+            sym[merged, best] = self.pair_id[self._find(sym[merged, best], sym[merged, best + 1])]
             keep = np.ones((m, w), bool)
             keep[np.arange(m), best + 1] = False
             for x in (sym, start):
