@@ -35,14 +35,16 @@ SIGN = r"(?::=|=>|==?|:)"
 _NAMED = NAMES + r"[\w-]{0,64}+[\"']?\s*+" + SIGN
 #: Kinds by first match; a value of an assignment follows its sign.
 KINDS = {
-    # to its END line; the BEGIN line alone if there is none before the next block
+    # to its END line, however long; the BEGIN line alone if another block comes first or none ends it
     "key_block": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
-                 r"(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+){0,2000}+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----)?",
-    "assignment": _NAMED + r"\s*+[\"']?[^\s\"']{6,}",
+                 r"(?:(?>[\s\S]*?(?=-----(?:BEGIN|END) ))-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----)?",
+    "assignment": _NAMED + r"\s*+(?:\"[^\"\n]++(?=\")|'[^'\n]++(?=')|[\"']?[^\s\"']++)",
     "cloud_key": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
     "service_token": r"gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[0-9A-Za-z]{16,}",
     "signed_token": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*",
-    "mixed": r"(?=[A-Za-z+/_-]{0,60}[0-9])(?![\w-]{0,64}?(?i:" + _NAMED + r"))[A-Za-z0-9][A-Za-z0-9+/_-]{15,}={0,2}",
+    # from a run's first letter or digit; with a digit anywhere, or of 20 letters and more
+    "mixed": r"(?<![A-Za-z0-9][+/_-]{0,8})(?=[A-Za-z+/_-]*+[0-9]|[A-Za-z]{20})(?![\w-]{0,64}?(?i:" + _NAMED
+             + r"))[A-Za-z0-9][A-Za-z0-9+/_-]{15,}={0,2}",
 }
 _CASELESS = {"assignment"}
 #: A name may end a longer identifier; the other kinds start after a letter or digit never.
@@ -56,7 +58,7 @@ DICTIONARY = (r"change|example|sample|dummy|test|your|here|placeholder|password|
               r"data|user|name|file|image|report|final|draft|update|window|system|number|order|project|value|default|"
               r"enter|insert|none|null|true|false|admin|demo|xxx+|the|and|ing|tion")
 TRAIN_DOCS = 1_500      # documents whose words surround the derived labelled findings, at most (about)
-TREES, DEPTH, SEED = 30, 8, 7
+TREES, DEPTH, SEED = 40, 10, 7
 FLAG_AT = 0.5
 
 
@@ -142,6 +144,7 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_secret_word": flag(before.rlike(f"(?:{SECRET_WORDS})")),
         "f_named": flag(before.rlike(_NAMED + r"\s*[\"']?$")),
         "f_other_word": flag(before.rlike(f"\\b(?:{OTHER_WORDS})\\b")),
+        "f_key_block": flag(v.startswith("-----BEGIN")),
         "f_prefix": flag(v.rlike("^(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|eyJ|-----BEGIN)")),
     }
     return found.withColumns({k: c.cast("double") for k, c in cols.items()}), list(cols)
@@ -163,7 +166,11 @@ def labelled_findings(docs: DataFrame, max_docs: int = TRAIN_DOCS, n_docs: int |
     def b64(salt):
         return F.regexp_replace(F.base64(F.unhex(rnd(salt))), "[+/=]", "x")
 
+    def letters(salt):
+        return F.translate(F.left(b64(salt), F.lit(40)), "0123456789", "qZxKvjWgHR")
+
     word = F.regexp_extract(text, r"([A-Za-z]{4,})", 1)
+    words = F.slice(F.regexp_extract_all(text, F.lit(r"([A-Za-z]{4,})"), F.lit(1)), 2, 5)
     secrets = [
         ('token = "', F.left(rnd("a"), F.lit(40)), '"'), ("password=", F.left(rnd("b"), F.lit(18)), ""),
         ("", F.concat(F.lit("AKIA"), F.upper(F.translate(F.left(b64("c"), F.lit(16)), "-_", "AB"))), ""),
@@ -175,8 +182,13 @@ def labelled_findings(docs: DataFrame, max_docs: int = TRAIN_DOCS, n_docs: int |
                       F.lit("\n-----END RSA PRIVATE KEY-----")), ""),
         ("", F.concat(F.lit("-----BEGIN PGP PRIVATE KEY BLOCK-----\n\n"), F.concat_ws("\n", *map(b64, "xyzABCDE")),
                       F.lit("\n-----END PGP PRIVATE KEY BLOCK-----")), ""),
+        *((pre, F.concat(F.lit(f"-----BEGIN {kind}-----\n{head}"), F.concat_ws("\n", *map(rnd, salts)),
+                         F.lit(f"\n-----END {kind}-----")), "")
+          for pre, kind, head, salts in (("", "PGP PRIVATE KEY BLOCK", "Version: x\n\n", "OPQRSTUV"), ("key: ", "PRIVATE KEY", "", "WXYZ0123"))),
         ("password      = ", F.left(b64("F"), F.lit(8)), ""), ('secret => "', F.left(b64("G"), F.lit(10)), '"'),
         ("dbpassword=", F.left(b64("H"), F.lit(9)), ""), ("userPassword: ", F.left(b64("I"), F.lit(10)), ""),
+        ("", letters("J"), ""), ("key ", F.lower(letters("K")), ""), ("password=", F.left(b64("L"), F.lit(5)), ""),
+        ('password = "', F.concat_ws(" ", word, F.left(b64("M"), F.lit(7))), '"'),
         ("Bearer ", F.concat(F.lit("eyJ"), F.left(b64("i"), F.lit(24)), F.lit("."), F.left(b64("j"), F.lit(30))), ""),
     ]
     others = [
@@ -188,6 +200,9 @@ def labelled_findings(docs: DataFrame, max_docs: int = TRAIN_DOCS, n_docs: int |
         ("", F.concat(word, F.lit("version"), F.lit("2000release")), ""), ("", F.concat(F.lit("report_final_"), word, F.lit("_2024")), ""),
         ("order ", F.concat(F.lit("4"), F.translate(F.left(rnd("p"), F.lit(17)), "abcdef", "123456")), ""),
         ("id ", F.concat_ws("-", F.left(rnd("q"), F.lit(8)), F.substring(rnd("q"), 9, 4), F.substring(rnd("q"), 13, 12)), ""),
+        ("", F.array_join(words, ""), ""), ("", F.initcap(F.array_join(words, "")), ""), ("", F.array_join(F.transform(words, F.initcap), ""), ""),
+        ("token: ", word, ""), ("secretary: ", F.initcap(word), ""), ("secret: ", F.left(word, F.lit(3)), ""),
+        ('secret: "', F.array_join(words, " "), '"'), ("tokens: ", F.translate(F.left(rnd("N"), F.lit(3)), "abcdef", "123456"), ""),
         ("token: ", F.concat(word, F.lit("value")), ""), ("password is ", F.concat(word, F.lit("example1")), ""),
     ]
     cases = [F.struct(F.concat(left, F.lit(" " + pre)).alias("before"), value.alias("value"),
