@@ -43,7 +43,7 @@ KINDS = {
     "service_token": r"gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[0-9A-Za-z]{16,}",
     "signed_token": r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*",
     # from a run's first letter or digit; with a digit anywhere, or of 20 letters and more
-    "mixed": r"(?<![A-Za-z0-9][+/_-]{0,8})(?=[A-Za-z+/_-]*+[0-9]|[A-Za-z]{20})(?![\w-]{0,64}?(?i:" + _NAMED
+    "mixed": r"(?=[A-Za-z0-9][A-Za-z0-9+/_-]{15})(?<![A-Za-z0-9][+/_-]{0,8})(?=[A-Za-z+/_-]*+[0-9]|[A-Za-z]{20})(?![\w-]{0,64}?(?i:" + _NAMED
              + r"))[A-Za-z0-9][A-Za-z0-9+/_-]{15,}={0,2}",
 }
 _CASELESS = {"assignment"}
