@@ -67,3 +67,33 @@ def test_long_documents_of_one_vocabulary_give_few_rows(spark):
     terms = [r.n for r in pre.groupBy("term").agg(D.F.count("*").alias("n")).collect()]
     assert sum(n * (n - 1) // 2 for n in terms) > 1000 > 10 * found
     assert "Join" not in B.candidates(B.prefixes(vectors, w, 0.9), 0.9, first=False)._jdf.queryExecution().toString()
+
+
+def test_cues_are_counted_by_grams_of_the_lengths_in_use(spark):
+    from newsframe.operators import cues as Q
+    docs = spark.createDataFrame([(1, "banana bandana \u00e9t\u00e9\u00e9t\u00e9\u00e9t aaaaaaaaaaa"), (2, None), (3, "none here")], "doc_id long, text string")
+    words = ["banana", "ana", "aaaaa", "\u00e9t\u00e9\u00e9t", "a", "zzzzzz"]
+    table = spark.createDataFrame([(w,) for w in words], "cue string")
+    text = docs.select(Q.T.clean_for_bias("text")).first()[0]
+    got = {(r.doc_id, r.cue): r.n for r in Q.cue_counts(docs, table).collect()}
+    assert {c: got.get((1, c), 0) for c in words} == {c: text.count(c) for c in words}
+    assert all(i != 2 for i, _ in got)
+    long = spark.createDataFrame([("bandana",)], "cue string")
+    plan = Q.cue_counts(docs, long)._jdf.queryExecution().toString()
+    assert "(.{5})" in plan and not any(f"(.{{{q}}})" in plan for q in range(1, 5))
+
+
+def test_document_parts_sort_in_memory(spark, tmp_path):
+    """A part of 64 MB as stored was some GB as exploded words, and spilled in each sort."""
+    from newsframe.operators import tokens as TK
+    assert TK.PART_BYTES <= 4 << 20
+
+
+def test_rake_carries_a_phrase_once(spark):
+    from newsframe.operators import keywords as KO
+    dd = spark.createDataFrame([(1, "big red dog and big red cat and dog"), (2, ""), (3, None)], "doc_id long, _t string")
+    res = KO.rake_phrases(dd, ["and"])
+    got = {(r.doc_id, r.pid): (r.phrase, r.score) for r in res.collect()}
+    assert got[1, 0] == ("big red dog", 8.0) and got[1, 1] == ("big red cat", 9.0) and got[1, 2] == ("dog", 2.0)
+    plan = res._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN (coalesce(at") == 1
