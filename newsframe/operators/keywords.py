@@ -93,7 +93,9 @@ def rake_phrases(dd: DataFrame, stop: DataFrame | Sequence[str], id_col: str = "
     # documents without phrases keep one row with a NULL phrase
     ph = dd.select(id_col, F.posexplode_outer(phrases).alias("pid", "phrase"))
     ws = F.filter(F.split("phrase", " "), lambda w: w != F.lit(""))
-    occ = ph.select(id_col, "pid", "phrase", F.size(ws).alias("plen"), F.explode_outer(ws).alias("w"))
+    # the phrase goes with its first word only, so the sorts below hold it once
+    occ = ph.select(id_col, "pid", "phrase", F.size(ws).alias("plen"), F.posexplode_outer(ws).alias("at", "w")).select(
+        id_col, "pid", "plen", "w", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("phrase")).alias("phrase"))
     # degree / frequency of each word over the document: a window keyed by
     # (doc, word), which the document partitioning already satisfies (a join
     # on both keys would shuffle again)
@@ -101,7 +103,7 @@ def rake_phrases(dd: DataFrame, stop: DataFrame | Sequence[str], id_col: str = "
     occ = occ.withColumn("ratio", F.sum("plen").over(byword).cast("double")
                          / F.count(F.lit(1)).over(byword).cast("double"))
     return occ.groupBy(id_col, "pid").agg(T.pyround(F.sum("ratio"), 6).alias("score"),
-                                          F.any_value("phrase").alias("phrase"))
+                                          F.any_value("phrase", True).alias("phrase"))
 
 
 def _rake_phrases_joined(dd: DataFrame, stop: DataFrame, id_col: str) -> DataFrame:
