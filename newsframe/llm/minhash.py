@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsframe.llm.common import chunks, fresh, text_key, worker_cache
-from newsframe.session import written_table
+from newsframe.session import small_table, written_table
 
 SHINGLE_WORDS = 5
 SAMPLES = 256                   # MinHash samples, all in the sketch
@@ -322,7 +322,7 @@ def deduplicated(docs: DataFrame, num: int = THRESHOLD[0], den: int = THRESHOLD[
     named = identified(docs, own)
     gone = near_duplicates(named.select(F.col(own).alias("doc_id"), "text"), num, den).where("NOT kept")
     gone = written_table(gone.select(F.col("doc_id").alias(own)).distinct(), "minhash-gone")
-    return named.join(gone, own, "left_anti").select(*docs.columns)
+    return named.join(small_table(gone), own, "left_anti").select(*docs.columns)
 
 
 def identified(docs: DataFrame, own: str) -> DataFrame:

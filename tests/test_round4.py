@@ -97,3 +97,18 @@ def test_rake_carries_a_phrase_once(spark):
     assert got[1, 0] == ("big red dog", 8.0) and got[1, 1] == ("big red cat", 9.0) and got[1, 2] == ("dog", 2.0)
     plan = res._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("CASE WHEN (coalesce(at") == 1
+
+
+def test_rejected_rows_leave_without_a_shuffle_of_the_texts(spark):
+    """The rejected rows outgrow Spark's own limit long before the bound of small tables."""
+    from newsframe.llm import common
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)] + [(None, "x")], "doc_id long, text string")
+    bad = docs.where("doc_id % 3 = 0 OR doc_id IS NULL").select("doc_id", common.text_key().alias("key"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = common.without(docs, bad, "test-bad")
+        assert "Exchange hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in left.collect()) == [i for i in range(50) if i % 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
