@@ -51,7 +51,7 @@ SKETCH_BITS = 1024
 HUB_ROUNDS = 2
 SIGMAS = 5                      # a pair at the threshold fails the sketch filter with under 1e-6
 THRESHOLD = (75, 100)           # similarity as a fraction
-CACHE_WORDS = 250_000
+CACHE_WORDS = 50_000            # hashes that a worker keeps: cheap to make again
 MAX_ROUNDS = 64                 # of the components' star steps, which end when nothing changes
 
 
@@ -126,7 +126,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     add = rng.integers(0, 2 ** 32, SAMPLES, np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, cache="minhash"):
             seq, size, bands, odd, whole = [], [], [], [], []
             for text in texts:
                 words, known = _split(text), _hashes()
@@ -154,7 +154,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 def full_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, shingles): the whole sets, for the documents of candidate pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, cache="minhash"):
             sets = [shingles(_split(t), _hashes()).view(np.int64) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))],
                                              names=["doc_id", "shingles"])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsframe.llm.common import chunks, worker_cache
+from newsframe.llm.common import chunks, release_memory, worker_cache
 from newsframe.session import written_table
 
 CAPACITY = 4096
@@ -125,7 +125,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = None
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, cache="packing"):
             tok = tok or WordTokenizer(spec, worker_cache("packing"))
             out = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), tok.ids(texts), strict=True):
@@ -135,6 +135,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
                     out.append((doc, i, a // 4, len(x) // 4, zlib.crc32(x)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema, strict=True)],
                                              schema=schema)
+        del tok     # the worker waits for its next task without the vocabulary
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, PIECE)

@@ -371,10 +371,11 @@ def encode(docs: DataFrame, model_path: str, seed: int = 0, dropout: float = 0.0
            text_col: str = "text") -> DataFrame:
     """(doc_id, ids) per row of ``docs``."""
     model = read_model(model_path)  # a vocabulary of fixed size, read on the driver and sent along
+    own = f"pieces-{model_path}-{seed}-{dropout}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(model, seed, dropout, worker_cache(f"pieces-{model_path}-{seed}-{dropout}"))
-        for part, texts in chunks(batches):
+        coder = Encoder(model, seed, dropout, worker_cache(own))
+        for part, texts in chunks(batches, cache=own):
             ids, ends = coder.encode_many(texts, [d or 0 for d in part.column("doc_id").to_pylist()])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids], names=["doc_id", "ids"])
@@ -402,11 +403,12 @@ def round_trip(docs: DataFrame, model_path: str, seed: int = 0, dropout: float =
     """(doc_id, n_ids, ids, lossless): encoded with dropout, and whether
     decoding gives the text back."""
     model = read_model(model_path)
+    own = f"pieces-{model_path}-{seed}-{dropout}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(model, seed, dropout, worker_cache(f"pieces-{model_path}-{seed}-{dropout}"))
+        coder = Encoder(model, seed, dropout, worker_cache(own))
         back = Decoder(model)
-        for part, texts in chunks(batches):
+        for part, texts in chunks(batches, cache=own):
             ids, ends = coder.encode_many(texts, [d or 0 for d in part.column("doc_id").to_pylist()])
             same = [x == (t or "") for x, t in zip(back.decode_many(ids, ends), texts, strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))

@@ -53,6 +53,7 @@ SYMBOLS = "#*$%&|<>"
 #: Character classes: lower, upper, other letters, digits, spaces, line ends,
 #: sentence marks, symbols, everything else.
 N_CLASSES = 9
+JUDGE_ROWS = 1_000      # rows whose shares are compared at once
 _TABLE_SIZE = 0x250         # code points classified by table; others by str methods
 
 
@@ -248,7 +249,7 @@ def quality(docs: DataFrame, class_limit: tuple = CLASS_LIMIT, word_limit: tuple
     n_places = len(_places(common))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, JUDGE_ROWS) for x in batches for i in range(0, x.num_rows, JUDGE_ROWS)):
             n = b.num_rows
             n_words = b.column("n_words").to_numpy()
             short = 1 / np.sqrt(np.maximum(n_words, 1))
