@@ -350,6 +350,24 @@ def test_toxicity_of_many_word_families(spark, monkeypatch):
     assert np.allclose(a.posterior(some), b.posterior(some), atol=0.05) and a.posterior(some)[0] > 0.9
 
 
+def test_correlated_voters_are_seen_on_all_vote_sets(spark, monkeypatch):
+    """The tasks find the driver's pairs, however few sets the driver may hold."""
+    monkeypatch.setattr(toxicity, "EM_ROUNDS", 4)
+    rng = random.Random(23)
+    first = len(toxicity.LEXICONS) + len(toxicity.PATTERNS)
+    n = first + 12
+    rows = [(i, sorted(rng.sample(range(n), rng.choice([1, 1, 2, 3])))) for i in range(400)]
+    rows += [(1000 + i, [first + 3, first + 8]) for i in range(300)] + [(2000 + i, []) for i in range(300)]
+    cast = spark.createDataFrame(rows, "doc_id long, votes array<int>").cache()
+    labels = spark.createDataFrame([(i, int(bool(v))) for i, v in rows if i % 3 == 0], "doc_id long, toxic int")
+    want = toxicity.label_model(cast, labels, n)
+    assert want.pairs
+    for few in (1, 20):
+        got = toxicity.label_model(cast, labels, n, driver_sets=few)
+        assert set(got.pairs) == set(want.pairs)
+        assert np.allclose(got.base, want.base) and got.delta.shape == want.delta.shape
+
+
 def test_unmarked_toxic_rows_keep_their_label(spark):
     rng = random.Random(22)
     rare = [f"qw{a}{b}" for a in "abcdefgh" for b in "mnprstvz"]    # met too seldom to be mined
