@@ -18,7 +18,7 @@ from newsframe import lexicons as L
 from newsframe.functions import keywords as KWF
 from newsframe.functions import text as T
 from newsframe.operators.tokens import by_document
-from newsframe.operators.vectors import VECTOR_BROADCAST_MAX_VALUES, VectorTable, dot
+from newsframe.operators.vectors import VECTOR_BROADCAST_MAX_VALUES, VectorTable, best_words, dot
 from newsframe.operators.wordstats import top_words, word_counts
 from newsframe.session import small_table, written_table
 
@@ -177,7 +177,8 @@ def keywords_embedding(df: DataFrame, vectors: DataFrame, stop_words: Sequence[s
     ``vectors`` is (key, vec); ``key`` maps a word column to that key
     (default: the word itself). Per-(doc, word) counts are joined to the table, the
     document vector is their aggregate, and the cosine a column; counts, vectors and
-    ranks all stay on the document partitioning. A word whose vector or whose
+    ranks all stay on the document partitioning. A table that is too large for a broadcast
+    is met in blocks (``best_words``). A word whose vector or whose
     document's vector is zero ranks last."""
     dd = _layout(df, id_col, text_col, clean, partitioned)
     toks = F.filter(F.split("_t", " "), lambda w: w != F.lit(""))
@@ -188,6 +189,10 @@ def keywords_embedding(df: DataFrame, vectors: DataFrame, stop_words: Sequence[s
     if stop:
         cand = cand & ~F.col("w").isin(stop)
     table = VectorTable(vectors, key, VECTOR_BROADCAST_MAX_VALUES)
+    if not table.fits:
+        keyed = counts.select(id_col, "w", "n", (key(F.col("w")) if key is not None else F.col("w")).alias("key"),
+                              F.coalesce(cand, F.lit(False)).alias("cand"))
+        return best_words(keyed, vectors, id_col, top_n, out)
     # one vector per document, joined on the partitioning that both sides have
     rows = counts.join(table.summed(counts, id_col).hint("shuffle_hash"), id_col, "left")
     rows = table.to_words(rows).withColumn("_cand", F.coalesce(cand & F.col("vec").isNotNull(), F.lit(False)))
