@@ -35,3 +35,28 @@ def test_a_large_vector_table_is_met_in_blocks(spark, monkeypatch):
 @pytest.mark.parametrize("x", [0.1234565, 1.115, -0.0000005, 0.9999995, 0.3333335])
 def test_rounding_of_arrays_is_python_rounding(x):
     assert V.pyround(V.np.array([x, -x]), 6).tolist() == [round(x, 6), round(-x, 6)]
+
+
+def test_prefix_blocks_and_texts_are_shuffled_once(spark, monkeypatch):
+    """However many blocks there are, a prefix row is dealt to one of them and read there."""
+    from newsframe.operators import blocks as B
+    from newsframe.operators import dedup as D
+    rng = random.Random(32)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=25))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + (" w1" if i % 2 else "")) for i in range(10)] + [(1, "w1 w2"), (None, "w3"), (200, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plans = {}
+    real = D.written_table
+
+    def keep(frame, name):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return real(frame, name)
+    monkeypatch.setattr(D, "written_table", keep)
+    monkeypatch.setattr(B, "written_table", keep)
+    want = {(r.i, r.j, r.sim) for r in D.similar_pairs(df, 0.6).collect()}
+    monkeypatch.setattr(B, "PREFIX_TERMS", 200)
+    assert {(r.i, r.j, r.sim) for r in D.similar_pairs(df, 0.6).collect()} == want and len(want) >= 5
+    assert "Generate" not in plans["dedup-candidates"] and "RoundRobinPartitioning" in plans["dedup-candidates"]
+    texts = [x for x in plans["dedup-counts"].split("\n") if "Exchange hashpartitioning(doc_id" in x]
+    assert len(texts) == 2                                    # the texts' and their ids'
