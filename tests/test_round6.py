@@ -60,3 +60,10 @@ def test_prefix_blocks_and_texts_are_shuffled_once(spark, monkeypatch):
     assert "Generate" not in plans["dedup-candidates"] and "RoundRobinPartitioning" in plans["dedup-candidates"]
     texts = [x for x in plans["dedup-counts"].split("\n") if "Exchange hashpartitioning(doc_id" in x]
     assert len(texts) == 2                                    # the texts' and their ids'
+
+
+def test_feed_entries_are_parsed_once(spark):
+    """Duplicate removal reads its input three times; the XML is not parsed again for it."""
+    import __spark_entry__ as entry
+    plan = entry.queries()["ingest_batch"](spark, entry.SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xml" not in plan.lower() and "regexp" not in plan.lower()
